@@ -25,3 +25,35 @@ def op9_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import judge
+
+    out = judge(table(spark, sf_dir, "documents"), "source", ["doc_id"])
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+ORACLES["op10_quality_rules"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, t FROM d),
+g AS (SELECT r, i, ws[i] || ' ' || ws[i+1] || ' ' || ws[i+2] AS s
+      FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+p AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, s) AS c FROM g) WHERE c > 1),
+rep AS (SELECT r, count(DISTINCT i + k) AS n FROM p, (SELECT unnest([0, 1, 2]) AS k) GROUP BY r),
+l AS (SELECT r, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM w),
+c AS (SELECT d.r, doc_id, source, len(ws) AS n_words, coalesce(length(array_to_string(ws, '')), 0) AS word_chars,
+             length(regexp_replace(w.t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+             len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words
+      FROM d JOIN w USING (r) JOIN l USING (r) LEFT JOIN rep USING (r)),
+j AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, n_symbols > n_words AS noisy FROM c),
+h AS (SELECT source, count(*) AS n, sum((base_failed OR noisy)::INT)::BIGINT AS f FROM j WHERE source IS NOT NULL GROUP BY source),
+m AS (SELECT avg(f / n) AS m, coalesce(var_samp(f / n), 0) AS v FROM h),
+s AS (SELECT m, CASE WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 1.0), 1e6) ELSE 1e6 END AS st FROM m),
+b AS (SELECT source FROM h, s WHERE (f + m * st) / (n + st) > 0.5)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+       n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+       NOT base_failed AND NOT noisy AND (source IS NULL OR source NOT IN (SELECT source FROM b)) AS kept
+FROM j
+"""
