@@ -57,3 +57,10 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
        NOT base_failed AND NOT noisy AND (source IS NULL OR source NOT IN (SELECT source FROM b)) AS kept
 FROM j
 """
+
+
+@query
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html import extract_main_text
+
+    return extract_main_text(table(spark, sf_dir, "pages"))
