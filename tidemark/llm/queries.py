@@ -92,3 +92,29 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neardup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
+@query
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import dedup_lines
+
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+ORACLES["op6_line_dedup"] = r"""
+WITH l AS (SELECT doc_id, p, line, trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS s
+           FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                        unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS p FROM documents)),
+n AS (SELECT doc_id, p, s, len(regexp_extract_all(s, '[^\x20\x09-\x0D]+')) AS w,
+             row_number() OVER (PARTITION BY doc_id ORDER BY p) AS i FROM l WHERE s <> ''),
+g AS (SELECT doc_id, i, p, s || chr(10) || lead(s) OVER o AS win, w + lead(w) OVER o AS words, lead(p) OVER o AS q
+      FROM n WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+f AS (SELECT doc_id, p, q, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS rn FROM g WHERE words >= 10),
+gone AS (SELECT doc_id, unnest([p, q]) AS p FROM f WHERE rn > 1),
+k AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY p) AS t FROM l ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),
+c AS (SELECT doc_id, count(DISTINCT p) AS n FROM gone GROUP BY doc_id),
+a AS (SELECT doc_id, count(*) AS n FROM n GROUP BY doc_id)
+SELECT d.doc_id, coalesce(a.n, 0)::BIGINT AS n_lines, coalesce(c.n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM documents d LEFT JOIN k USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN a USING (doc_id)
+"""
