@@ -118,3 +118,26 @@ a AS (SELECT doc_id, count(*) AS n FROM n GROUP BY doc_id)
 SELECT d.doc_id, coalesce(a.n, 0)::BIGINT AS n_lines, coalesce(c.n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM documents d LEFT JOIN k USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN a USING (doc_id)
 """
+
+
+@query
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import find_items
+
+    return find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: Words as of op2 and op3: A-Z lower-cased, runs of letters, digits and non-ASCII.
+_WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLES["op2_decontamination"] = f"""
+WITH b AS (SELECT item_id, {_WORDS_SQL} AS ws FROM benchmark),
+i AS (SELECT DISTINCT item_id, array_to_string(ws[p:p + least(len(ws), 5) - 1], ' ') AS s
+      FROM (SELECT item_id, ws, unnest(range(1, len(ws) - least(len(ws), 5) + 2)) AS p FROM b WHERE len(ws) > 0)),
+d AS (SELECT doc_id, {_WORDS_SQL} AS ws FROM documents),
+w AS (SELECT DISTINCT len(string_split(s, ' ')) AS k FROM i),
+g AS (SELECT DISTINCT doc_id, array_to_string(ws[p:p + k - 1], ' ') AS s
+      FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS p FROM d, w)),
+n AS (SELECT item_id, count(*) AS n FROM i GROUP BY item_id)
+SELECT doc_id, item_id, count(*)::BIGINT AS n_shared, any_value(n)::BIGINT AS n_item
+FROM g JOIN i USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING 100 * count(*) >= 80 * any_value(n)
+"""
