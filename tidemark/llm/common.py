@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,9 +38,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let the context cleaner drop the shuffles of jobs that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let the context cleaner drop the shuffles of jobs that nothing refers to any more.
+
+    Twice: what the first collection finalises on either side, the second one frees.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def discard(*frames: DataFrame) -> None:
@@ -65,3 +71,9 @@ def own_columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(n) for n in names])
 
 
+
+
+def small_side(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """df, to be broadcast if it has at most `rows` rows of a few numbers each, which is counted;
+    a larger one is joined by shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
