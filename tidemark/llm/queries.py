@@ -141,3 +141,39 @@ n AS (SELECT item_id, count(*) AS n FROM i GROUP BY item_id)
 SELECT doc_id, item_id, count(*)::BIGINT AS n_shared, any_value(n)::BIGINT AS n_item
 FROM g JOIN i USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING 100 * count(*) >= 80 * any_value(n)
 """
+
+
+@query
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def _license_sql() -> str:
+    from .licenses import BASE_GRAM, COVER, NEAR, NOTICE_GRAM, template_rows
+
+    values = ", ".join(f"('{g}', {t}, '{label}', {b}, {n}, {i})" for g, t, label, b, n, i in template_rows())
+    return f"""
+WITH t(gram, template, label, is_base, n_template, spot) AS (VALUES {values}),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS_SQL} AS ws FROM documents),
+g AS (SELECT r, i - 1 AS place, k, array_to_string(ws[i:i + k - 1], ' ') AS gram
+      FROM (SELECT r, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM d, (SELECT unnest([{BASE_GRAM}, {NOTICE_GRAM}]) AS k))),
+v AS (SELECT r, template, label, is_base, n_template, spot, place, k, place - spot AS diagonal
+      FROM g JOIN t USING (gram) WHERE k = CASE WHEN is_base THEN {BASE_GRAM} ELSE {NOTICE_GRAM} END),
+b AS (SELECT r, label, diagonal FROM v WHERE is_base GROUP BY r, template, label, n_template, diagonal HAVING count(DISTINCT spot) = n_template - {BASE_GRAM - 1}),
+x AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY r, template ORDER BY diagonal) <= {NEAR} THEN 0 ELSE 1 END AS new FROM v WHERE NOT is_base),
+s AS (SELECT *, sum(new) OVER (PARTITION BY r, template ORDER BY diagonal, place ROWS UNBOUNDED PRECEDING) AS span FROM x),
+c AS (SELECT r, label, count(DISTINCT spot + j) / any_value(n_template) AS share FROM s, (SELECT unnest(range(0, {NOTICE_GRAM})) AS j) GROUP BY r, template, label, span),
+l AS (SELECT r, label FROM b UNION SELECT r, label FROM c WHERE share >= {COVER}),
+p AS (SELECT r, count(*) AS n, min(diagonal) AS lo, max(diagonal) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS ls FROM b GROUP BY r),
+q AS (SELECT r, string_agg(label, ',' ORDER BY label) AS ls FROM l GROUP BY r),
+m AS (SELECT r, max(share) AS share FROM c GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(p.n, 0)::BIGINT AS n_base, lo::BIGINT AS first_word, hi::BIGINT AS last_word,
+       coalesce(p.ls, '') AS base_labels, coalesce(q.ls, '') AS labels,
+       round(CASE WHEN p.n > 0 THEN 1.0 ELSE coalesce(share, 0.0) END::DOUBLE, 6) AS score
+FROM d LEFT JOIN p USING (r) LEFT JOIN q USING (r) LEFT JOIN m USING (r)
+"""
+
+
+ORACLES["op3_license_scan"] = _license_sql()
