@@ -177,3 +177,59 @@ FROM d LEFT JOIN p USING (r) LEFT JOIN q USING (r) LEFT JOIN m USING (r)
 
 
 ORACLES["op3_license_scan"] = _license_sql()
+
+
+def _spans(c: str):
+    return F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",").alias(c)
+
+
+@query
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import conversations_of, format_preferences, with_truncated_answer
+
+    pairs = with_truncated_answer(conversations_of(table(spark, sf_dir, "conversations")))
+    return format_preferences(pairs).select("conv_id", "n_shared", "prompt", "chosen_text", "rejected_text", _spans("chosen_mask"), _spans("rejected_mask"))
+
+
+ORACLES["op5_chat_formatting"] = r"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, '<|' || coalesce(role, '') || '|>' || chr(10) AS head,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS i FROM conversations),
+a AS (SELECT *, max(CASE WHEN role = 'assistant' THEN i END) OVER (PARTITION BY conv_id) AS la FROM t),
+b AS (SELECT *, CASE WHEN i = la THEN substr(text, 1, length(text) // 2) ELSE text END AS rtext FROM a),
+c AS (SELECT *, coalesce(min(CASE WHEN text <> rtext THEN i END) OVER (PARTITION BY conv_id) - 1, count(*) OVER (PARTITION BY conv_id)) AS shared FROM b),
+r AS (SELECT *, head || text || '<|end|>' || chr(10) AS x, head || rtext || '<|end|>' || chr(10) AS y FROM c),
+o AS (SELECT *, sum(CASE WHEN i > shared THEN length(x) ELSE 0 END) OVER w - length(x) + length(head) AS xs,
+             sum(CASE WHEN i > shared THEN length(y) ELSE 0 END) OVER w - length(y) + length(head) AS ys
+      FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY i))
+SELECT conv_id, any_value(shared)::BIGINT AS n_shared,
+       coalesce(string_agg(x, '' ORDER BY i) FILTER (i <= shared), '') AS prompt,
+       coalesce(string_agg(x, '' ORDER BY i) FILTER (i > shared), '') AS chosen_text,
+       coalesce(string_agg(y, '' ORDER BY i) FILTER (i > shared), '') AS rejected_text,
+       coalesce(string_agg(xs::BIGINT || ':' || (xs + length(text) + 7)::BIGINT, ',' ORDER BY i) FILTER (i > shared AND role = 'assistant'), '') AS chosen_mask,
+       coalesce(string_agg(ys::BIGINT || ':' || (ys + length(rtext) + 7)::BIGINT, ',' ORDER BY i) FILTER (i > shared AND role = 'assistant'), '') AS rejected_mask
+FROM o GROUP BY conv_id
+"""
+
+
+@query
+def op8_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as archive, against a replica in which every 97th page has lost its first
+    letter e and every 389th record is gone."""
+    from .warc import audit, warc_record
+
+    pages = table(spark, sf_dir, "pages")
+    record = lambda html: warc_record(F.col("page_id"), F.col("url"), html).alias("record")
+    rotten = F.when(F.col("page_id") % 97 == 13, F.regexp_replace("html", "(?s)^([^e]*)e", "$1")).otherwise(F.col("html"))
+    primary = pages.select(F.col("page_id").alias("id"), record(F.col("html")))
+    replica = pages.where(F.coalesce(F.col("page_id") % 389 != 7, F.lit(True))).select(F.col("page_id").alias("id"), record(rotten))
+    return audit(primary, replica).withColumnRenamed("id", "page_id")
+
+
+ORACLES["op8_merkle_audit"] = r"""
+WITH r AS (SELECT page_id, html, strlen('WARC/1.0' || 'WARC-Type: resource' || 'WARC-Record-ID: <urn:id:' || page_id || '>' || 'WARC-Target-URI: ' || url
+                  || 'Content-Type: text/html' || 'Content-Length: ' || strlen(html)) + 18 + strlen(html) AS n FROM pages),
+o AS (SELECT page_id, page_id // 4096 AS file, n, (sum(n) OVER (PARTITION BY page_id // 4096 ORDER BY page_id) - n)::BIGINT AS off,
+             page_id % 389 = 7 AS gone, page_id % 97 = 13 AND contains(html, 'e') AS rot FROM r)
+SELECT page_id, file, off AS "offset", n AS length, CASE WHEN gone THEN 'missing' ELSE 'changed' END AS kind
+FROM o WHERE gone OR rot
+"""
