@@ -1,17 +1,79 @@
-"""The corpus pipeline: documents to packed training windows, in five stages."""
+"""The corpus pipeline: from documents to packed training windows, in five stages.
+
+Each stage takes (spark, docs, sf_dir) and returns a frame. The driver writes it as Parquet and
+reads it as the next stage's docs; run() does the same, in the shared folder. All stages but
+the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm.common import materialize, small_side, table
+from tidemark.llm.decontaminate import drop_contaminated
+from tidemark.llm.lines import dedup_lines
+from tidemark.llm.neardup import near_duplicates
+from tidemark.llm.packing import pack_documents
+from tidemark.llm.quality import keep_good
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail a quality rule, or whose host is rejected, go.
+
+    As quality.judge(): null texts fail (too few words), null hosts have no verdict; repeated
+    rows are judged alike; an empty table stays empty.
+    """
+    return keep_good(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Runs of lines that also occur earlier are deleted; n_chars follows the text.
+
+    A document that loses every line it had is a copy of what is kept elsewhere, and goes; one
+    that had none stays. As lines.dedup_lines() otherwise.
+    """
+    out = dedup_lines(docs).where("__n_removed = 0 or __n_removed < __n_lines")
+    out = out.withColumn("n_chars", F.when(F.col("__n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates (similarity 0.8 or more) the smallest doc_id stays.
+
+    As neardup.near_duplicates(); documents without words and with a null doc_id stay.
+    """
+    gone = materialize(near_duplicates(docs, percent=80).where("not kept").select("doc_id").distinct(), "near-copies")
+    return docs.join(small_side(gone), "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go. As decontaminate.drop_contaminated()."""
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, with their ids, in windows of 2048. As packing.pack_documents()."""
+    import public_tokenizers
+
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), keep_ids=True)
+
 
-from tidemark.llm.common import table
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("near-duplicates", near_dedup),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
 
-STAGES = []
+#: SQL can't tokenise; the pipeline is tested against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
