@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, small_batches
+from .common import discard, materialize, small_batches, small_side
 from .textscan import Column, U, Words, chunks, grams, inside_rows, mix
 
 SHINGLE = 5
@@ -232,7 +232,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     weights = members.groupBy("id").agg(F.sum("size").alias("weight"))
     members = materialize(members.join(weights, "id").select("bucket", "id", "weight"), "weighted")
 
-    texts = docs.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    # Few documents meet others: where their ids are few enough to travel, no text is shuffled.
+    wanted = materialize(members.select(F.col("id").alias("doc_id")).distinct(), "wanted")
+    texts = docs.join(small_side(wanted), "doc_id", "left_semi")
     sets = materialize(texts.mapInArrow(_sets, "id long, shingles binary"), "sets")
 
     pivots = members.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"))).alias("p")).select("bucket", (-F.col("p.minus")).alias("pivot"))
@@ -247,7 +249,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     inner = tiles.groupBy("pivot", "low", "high").applyInPandas(_tile(percent), "a long, b long")
     links = tested.where("linked").select(F.col("pivot").alias("a"), F.col("id").alias("b")).union(inner)
     labels = components(links)
-    discard(members, sets, tested)
+    discard(members, wanted, sets, tested)
     named = full.select("doc_id", "digest").join(reps, "digest").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("component_id"))
     named = named.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     out = scanned.select("doc_id", "n_shingles").join(named, "doc_id", "left")
