@@ -1,0 +1 @@
+"""Nothing streams here: interaction logs are bounded, and are processed in batches."""
