@@ -24,6 +24,8 @@ BODY = " ".join(["A paragraph of the article, long enough to matter."] * 5)
     (f"<ul><li><a href='/a'>one</a></li><li><a href='/b'>two</a></li></ul><div><p>{BODY}</p></div>", None),
     ("<article><p>a < b and c > d</p><!-- <p>no</p> --><p>cut <a hre", "a < b and c > d cut"),
     ("<article><p title='x > y'>quoted</p><p data-x=\"it's\">fine</p></article>", "quoted fine"),
+    (f"<div class='content with-sidebar'><p>{BODY}</p></div><p><a href='/n'>Next</a></p><p><a href='/p'>Back</a></p>", BODY),
+    (f"<div class='article-text'><p>{BODY}</p></div><div class='article-footer'>Foot</div><p class='post-meta share-links'>Share it</p>", BODY),
     ("<article><table><tr><td>1</td><td>2</td></tr></table><ul><li>i<li>j</ul></article>", "1 2 i j"),
     ("<div class=ad>never closed <article><p>still here</p></article>", "still here"),
 ])

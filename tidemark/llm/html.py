@@ -42,17 +42,27 @@ _NAME = re.compile(r"\b(?:class|id|role)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _WORDS = re.compile(r"[a-z]+")
 _NAMES = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies copyright disclaimer discussion disqus footer gdpr header login masthead menu modal nav navbar navigation navigator newsletter notice notices notification pager pagination popup promo promoted promotion related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar toc widget complementary".split())
+_CONTENT = frozenset("article body content entry main post story text".split())
+_NEAR = frozenset("has is no not with without".split())
 _COMMENTS = frozenset("comment comments discussion disqus replies reply respond related complementary".split())
 
 
 def _named(attributes: str) -> str | None:
-    """'comments', 'boilerplate' or None by the class, id and role of an element."""
+    """'comments', 'boilerplate' or None by the class, id and role of an element.
+
+    A name with a word for content (article-text, content-ad-free) doesn't make boilerplate unless
+    it ends in one for boilerplate (article-footer), nor does one that only states what is near
+    (with-sidebar).
+    """
     kind = None
     for m in _NAME.finditer(attributes):
-        for word in _WORDS.findall((m[1] or m[2] or m[3] or "").lower()):
-            if word in _COMMENTS:
+        for name in (m[1] or m[2] or m[3] or "").lower().split():
+            words = _WORDS.findall(name)
+            if not words or words[0] in _NEAR or _CONTENT.intersection(words) and words[-1] not in _NAMES:
+                continue
+            if _COMMENTS.intersection(words):
                 return "comments"
-            if word in _NAMES:
+            if _NAMES.intersection(words):
                 kind = "boilerplate"
     return kind
 
@@ -161,7 +171,8 @@ def main_text(page: str | None) -> str:
             surge = i
         elif not s and surge >= 0:
             if heavy and max(sums[surge:i]) >= heavy:
-                kept += [t for (t, _, _), w in zip(lines[surge:i], weights[surge:i], strict=False) if w or not article and t]
+                last = max(j for j in range(surge, min(i, len(weights))) if weights[j])
+                kept += [t for (t, _, _), w in zip(lines[surge : last + 1], weights[surge : last + 1], strict=True) if w or not article and t]
             surge = -1
     return " ".join(kept)
 
