@@ -149,6 +149,38 @@ def test_serving_equals_batch(spark, tmp_path):
             service.recommend(1, bad)
 
 
+def test_http(spark, tmp_path):
+    import json
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from tidemark.plans.http import answer, server
+
+    empty = Recommender(spark, None)
+    assert answer(empty, "/health") == (200, {"status": "no bundle"}) and answer(empty, "/recommend/1")[0] == 503
+    table = spark.createDataFrame([(1, 5, 1.0, 1, "ranked"), (1, 6, 0.5, 2, "ranked")], "user_id long, item_id long, score double, rank long, strategy string")
+    profile = spark.createDataFrame([(1, 3, 2, [9, 8])], "user_id long, n_ratings long, n_positives long, items array<long>")
+    popular = spark.createDataFrame([(7, 2.0, 1)], "item_id long, score double, place long")
+    export_bundle(str(tmp_path / "b"), {"recommendations": table, "profiles": profile, "popular": popular}, {})
+    own = Recommender(spark, str(tmp_path / "b"))
+    assert [answer(own, t)[0] for t in ("/", "/recommend/1?k=0", "/recommend/1?k=101", "/recommend/1?k=x", "/users/1/profile?n=51", "/nothing")] == [200, 422, 422, 422, 422, 404]
+    assert answer(own, "/users/random") == (200, {"user_id": 1}) and answer(own, "/users/1/profile?n=1")[1]["items"] == [9]
+    web = server(own, 0)
+    threading.Thread(target=web.serve_forever, daemon=True).start()
+    with urllib.request.urlopen(f"http://127.0.0.1:{web.server_port}/recommend/1?k=1") as reply:
+        assert json.load(reply) == {"user_id": 1, "strategy": "ranked", "items": [5]}
+    with pytest.raises(urllib.error.HTTPError):
+        urllib.request.urlopen(f"http://127.0.0.1:{web.server_port}/recommend/1?k=500")
+    web.shutdown()
+
+
+def test_ablation(spark):
+    base = users(spark, [0.1, 0.2, 0.3])
+    rows = {r.model: r for r in st.ablation({"full": base, "less": base.withColumn("ndcg", F.col("ndcg") - 0.1)}, "full", n=20).collect()}
+    assert rows["full"].diff == 0.0 and rows["less"].diff == rows["less"].hi == -0.1 and rows["less"]["mean"] == 0.1
+
+
 def test_whole_users_and_pipeline(spark, tmp_path):
     ratings = spark.createDataFrame(fixtures.log(), fixtures.COLUMNS)
     got = whole_users(ratings, 60)

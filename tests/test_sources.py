@@ -52,3 +52,15 @@ def test_atomic_json_leaves_nothing_behind(tmp_path):
     with pytest.raises(TypeError):
         so.write_json_atomic({"b": object()}, str(tmp_path / "x.json"))
     assert json.loads((tmp_path / "x.json").read_text()) == {"b": 1} and len(list(tmp_path.iterdir())) == 1
+
+
+def test_checked_file(tmp_path):
+    import hashlib
+
+    path = tmp_path / "f.csv"
+    path.write_bytes(b"a\nb\n")
+    own = hashlib.sha256(b"a\nb\n").hexdigest()
+    assert so.checked_file(str(path), own, hashlib.md5(b"a\nb\n").hexdigest(), 2) == str(path)
+    for bad in ({"sha256": "0"}, {"md5": "0"}, {"lines": 3}):
+        with pytest.raises(ValueError):
+            so.checked_file(str(path), **bad)

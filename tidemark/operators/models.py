@@ -130,10 +130,10 @@ def dense_top_k(history: DataFrame, weights: DataFrame, seen: DataFrame, k: int
     scores its users in blocks, and only k rows a user leave it.
     """
     spark = history.sparkSession
+    if weights.select("i").union(weights.select("j")).distinct().limit(MAX_DENSE + 1).count() > MAX_DENSE:
+        raise ValueError(f"more than {MAX_DENSE} items")
     rows = weights.toPandas()
     ids = np.unique(np.concatenate([rows["i"].to_numpy(), rows["j"].to_numpy()]))
-    if len(ids) > MAX_DENSE:
-        raise ValueError(f"more than {MAX_DENSE} items")
     matrix = np.zeros((len(ids), len(ids)))
     matrix[np.searchsorted(ids, rows["i"]), np.searchsorted(ids, rows["j"])] = rows["s"]
     shared = spark.sparkContext.broadcast((ids, matrix))

@@ -35,7 +35,8 @@ def _replicates(values: DataFrame, value: str, n: int, seed: int) -> DataFrame:
     """replicate, mean: weighted means, each weight from a hash of seed, replicate and user."""
     u = key_hash(seed, "replicate", "user_id") / F.lit(float(1 << 32))
     rows = values.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("w", poisson_weight(u))
-    return rows.groupBy("replicate").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("mean"))
+    # A resample of few units can be empty: it has no mean.
+    return rows.groupBy("replicate").agg(F.try_divide(F.sum(F.col("w") * F.col(value)), F.sum("w")).alias("mean"))
 
 
 def bootstrap(diffs: DataFrame, value: str = "diff", n: int = REPLICATES, seed: int = 0) -> DataFrame:
@@ -47,6 +48,17 @@ def bootstrap(diffs: DataFrame, value: str = "diff", n: int = REPLICATES, seed:
     return ends.select(F.round(F.lit(mean), 6).alias("mean"), F.round(F.col("q")[0], 6).alias("lo"), F.round(F.col("q")[1], 6).alias("hi"))
 
 
+def ablation(runs: dict[str, DataFrame], headline: str, metric: str = "ndcg", n: int = REPORT_REPLICATES, seed: int = 0) -> DataFrame:
+    """model, mean, diff, lo, hi: every run (user_id, metric) against the headline's, on the same users."""
+    out = None
+    for name, run in runs.items():
+        row = bootstrap(paired(run, runs[headline], metric), n=n, seed=seed).withColumnRenamed("mean", "diff")
+        value = run.agg(F.round(F.avg(metric), 6).alias("mean"))
+        row = row.select(F.lit(name).alias("model"), F.lit(value.first()["mean"]).alias("mean"), "diff", "lo", "hi")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def ratio_interval(a: DataFrame, b: DataFrame, metric: str, n: int = REPORT_REPLICATES, seed: int = 0) -> DataFrame:
     """One row: the ratio of means of two independent populations, with its resampled percentiles."""
     x = _replicates(a, metric, n, seed).withColumnRenamed("mean", "x")

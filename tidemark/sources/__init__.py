@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import hashlib
 import json
 import os
 from collections.abc import Iterable, Sequence
@@ -50,6 +51,22 @@ def require_rows(df: DataFrame, at_least: int) -> DataFrame:
     return df
 
 
+def checked_file(path: str, sha256: str | None = None, md5: str | None = None, lines: int | None = None) -> str:
+    """path, if the local file's digests and number of lines are those given: guards an import."""
+    digests, n = {"sha256": hashlib.sha256(), "md5": hashlib.md5()}, 0
+    with open(path, "rb") as file:
+        while block := file.read(1 << 20):
+            n += block.count(b"\n")
+            for d in digests.values():
+                d.update(block)
+    for name, want in (("sha256", sha256), ("md5", md5)):
+        if want is not None and digests[name].hexdigest() != want.lower():
+            raise ValueError(f"{path}: another {name}")
+    if lines is not None and n != lines:
+        raise ValueError(f"{path}: {n} lines, expected {lines}")
+    return path
+
+
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", partition_by: Sequence[str] = ()) -> None:
     df.write.mode(mode).partitionBy(*partition_by).parquet(path)
 
