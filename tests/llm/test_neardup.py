@@ -61,7 +61,7 @@ def test_odd_rows(odd, none, clashing):
     assert near_duplicates(none).collect() == []
 
 
-@pytest.mark.parametrize("tile", [1024, 8])
+@pytest.mark.parametrize("tile", [256, 8])
 def test_edited_copies_of_one_text(spark, monkeypatch, tile):
     """Copies that are linked with the original, with each other only, in chains, or not at all."""
     monkeypatch.setattr(neardup, "TILE", tile)

@@ -36,7 +36,7 @@ SHINGLE = 5
 BANDS, ROWS = 38, 5
 PLACES = BANDS * ROWS
 #: Members of a pivot that meet in a tile; larger groups are dealt over pairs of tiles.
-TILE = 1024
+TILE = 256
 #: Elements that more members share than this are counted as matrix columns.
 DENSE = 16
 #: Bytes of text handled at once (a shingle takes PLACES bytes).
