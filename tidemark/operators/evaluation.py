@@ -70,7 +70,7 @@ def negatives(data: EvalData, n: int = NEGATIVES, seed: int = NEGATIVE_SEED) ->
 
     Each user walks the items in steps of its own through a prime number of places, which visits
     each place once, and takes the first n that count: the work is n plus the user's ratings, not
-    the catalogue, and the draw depends on seed and user alone. Raises if a user has fewer.
+    the catalogue, and the draw depends on seed and user alone. The job fails if a user has fewer.
     """
     pool = numbered(data.train_items).cache()
     size = pool.count()
@@ -82,10 +82,11 @@ def negatives(data: EvalData, n: int = NEGATIVES, seed: int = NEGATIVE_SEED) ->
     walk = walk.select("user_id", "j", F.pmod(F.col("a") + F.col("b") * F.col("j"), F.lit(prime)).alias("place"))
     drawn = walk.join(pool, "place").join(data.ever_rated, ["user_id", "item_id"], "left_anti")
     drawn = first_per_group(drawn, ["user_id"], [F.col("j")], n)
-    short = drawn.groupBy("user_id").agg(F.count("*").alias("got")).join(data.population, "user_id", "right").where(F.coalesce("got", F.lit(0)) < n).limit(1).count()
-    if short:
-        raise ValueError(f"some user has fewer than {n} items left to draw")
-    return drawn.select("user_id", "item_id")
+    # Counted on the partitioning that is there; a user with too few fails the job, one with none too.
+    drawn = drawn.select("user_id", "item_id", F.count("*").over(Window.partitionBy("user_id")).alias("got"))
+    out = data.population.join(drawn, "user_id", "left")
+    enough = F.coalesce("got", F.lit(0)) == n
+    return out.select("user_id", F.when(enough, F.col("item_id")).otherwise(F.raise_error(F.lit(f"some user has fewer than {n} items left to draw")).cast("bigint")).alias("item_id"))
 
 
 def check_scores(scores: DataFrame) -> DataFrame:
@@ -116,16 +117,25 @@ def user_metrics(top: DataFrame, data: EvalData, k: int = K) -> DataFrame:
     return users.select("user_id", "n_relevant", F.coalesce("hits", F.lit(0)).cast("bigint").alias("hits"), (F.coalesce("hits", F.lit(0)) / ideal).alias("recall"), (F.coalesce("dcg", F.lit(0.0)) / ideal_gain(ideal)).alias("ndcg"))
 
 
-def _scored(pairs: DataFrame, scores: DataFrame, name: str) -> DataFrame:
+def _scored(pairs: DataFrame, scores: DataFrame) -> DataFrame:
     score = F.coalesce("score", F.lit(float("-inf")))
-    return pairs.join(scores.select("user_id", "item_id", "score"), ["user_id", "item_id"], "left").select("user_id", F.col("item_id").alias(f"{name}_item"), score.alias(name))
+    return pairs.join(scores.select("user_id", "item_id", "score"), ["user_id", "item_id"], "left").select("user_id", score.alias("score"))
 
 
 def user_auc(scores: DataFrame, data: EvalData, drawn: DataFrame) -> DataFrame:
     """user_id, auc: how often a relevant item beats a drawn one, half for ties; what can't be scored ties."""
-    both = _scored(data.relevant, scores, "p").join(_scored(drawn, scores, "q"), "user_id")
-    win = F.when(F.col("p") > F.col("q"), 1.0).when(F.col("p") == F.col("q"), 0.5).otherwise(0.0)
-    return both.groupBy("user_id").agg(F.avg(win).alias("auc"))
+    return auc_of(_scored(data.relevant, scores), _scored(drawn, scores))
+
+
+def auc_of(relevant: DataFrame, drawn: DataFrame) -> DataFrame:
+    """user_id, auc of scored (user_id, score) relevant and drawn items.
+
+    A user's drawn scores travel as one array of bounded length, not as a row for every pair.
+    """
+    own = drawn.groupBy("user_id").agg(F.collect_list("score").alias("against"))
+    below = lambda q: F.when(F.col("score") > q, 1.0).when(F.col("score") == q, 0.5).otherwise(0.0)
+    won = F.aggregate("against", F.lit(0.0), lambda total, q: total + below(q)) / F.size("against")
+    return relevant.join(own, "user_id").groupBy("user_id").agg(F.avg(won).alias("auc"))
 
 
 def skipped_users(data: EvalData, catalog: DataFrame) -> DataFrame:

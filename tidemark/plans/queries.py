@@ -221,8 +221,9 @@ def popular_metrics(spark, d):
     data, e, top = _popular(spark, d)
     drawn = ev.negatives(e)
     # Only the pairs that AUC asks for are scored, never users times catalogue.
-    pairs = e.relevant.unionByName(drawn).join(data.popular(), "item_id")
-    users = ev.user_metrics(top, e).join(ev.user_auc(pairs, e, drawn), "user_id", "left")
+    popular = data.popular().cache()
+    auc = ev.auc_of(e.relevant.join(popular, "item_id"), drawn.join(popular, "item_id"))
+    users = ev.user_metrics(top, e).join(auc, "user_id", "left")
     return users.agg(F.count("*").alias("n_users"), *[F.round(F.avg(c), 6).alias(c) for c in ("recall", "ndcg", "auc")])
 
 
