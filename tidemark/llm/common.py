@@ -22,21 +22,28 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back.
+def materialize(df: DataFrame, label: str, files: int | None = None) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back; at most `files` files, for a
+    table that is known to be small.
 
     This cuts the lineage: what is read later survives the loss of any executor, and a table
     used twice is computed once. Shuffle files of the finished job are then released.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    (df.coalesce(files) if files else df).write.option("compression", "zstd").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._tidemark_path = path
     release(spark)
     return back
 
 
+def files_for(spark: SparkSession, rows: int, each: int = 500_000) -> int:
+    """How many files a table of so many rows needs, `each` in one, but two for each core: a small
+    table from many shuffle partitions isn't written as as many tiny files."""
+    return max(2 * spark.sparkContext.defaultParallelism, 1 + rows // each)
+
+
 def release(spark: SparkSession) -> None:
     """Let the context cleaner drop the shuffles of jobs that nothing refers to any more.
 
@@ -56,9 +63,11 @@ def discard(*frames: DataFrame) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the rows of an Arrow batch: texts are long, and a batch is held at once on both sides."""
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
+    """Bound the rows and the bytes of an Arrow batch: texts are long, and a batch is held at once
+    on both sides. A single longer text is a batch of its own."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def lower_ascii(column: Column) -> Column:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, small_batches, small_side
+from .common import discard, files_for, materialize, small_batches, small_side
 from .textscan import Column, U, Words, chunks, grams, inside_rows, mix
 
 SHINGLE = 5
@@ -188,15 +188,17 @@ def _tile(percent: int):
     return run
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(id, label) for each end of the links (a, b): label is the smallest id that it reaches."""
-    both = materialize(links.select("a", "b").union(links.select("b", "a")), "links")
-    labels = materialize(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("label")), "labels")
+def components(links: DataFrame, most: int | None = None) -> DataFrame:
+    """(id, label) for each end of the links (a, b): label is the smallest id that it reaches.
+    The links are written to `most` files at most."""
+    both = materialize(links.select("a", "b").union(links.select("b", "a")), "links", most)
+    files = 1 + both.count() // 500_000  # rows of two numbers
+    labels = materialize(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("label")), "labels", files)
     while True:
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
         lower = labels.join(near, labels["id"] == near["a"]).select("id", F.col("label").alias("old"), F.least("label", "near").alias("via"))
         jump = labels.select(F.col("id").alias("via"), F.col("label").alias("next"))
-        stepped = materialize(lower.join(jump, "via").select("id", "old", F.least("via", "next").alias("label")), "labels")
+        stepped = materialize(lower.join(jump, "via").select("id", "old", F.least("via", "next").alias("label")), "labels", files)
         changed = stepped.where("label < old").limit(1).count()
         discard(labels)
         labels = stepped.select("id", "label")
@@ -225,31 +227,32 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     scanned = materialize(docs.mapInArrow(_scan, _SCAN), "scanned")
     full = scanned.where("digest is not null and doc_id is not null")
     reps = full.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    reps = materialize(reps, "representatives")
     banded = full.join(reps.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi").select(F.col("doc_id").alias("id"), F.explode("bands").alias("bucket")).distinct()
     sizes = banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    members = materialize(banded.join(sizes, "bucket"), "members")
+    n_docs = scanned.count()
+    members = materialize(banded.join(sizes, "bucket"), "members", files_for(spark, BANDS * n_docs))
     weights = members.groupBy("id").agg(F.sum("size").alias("weight"))
-    members = materialize(members.join(weights, "id").select("bucket", "id", "weight"), "weighted")
+    weighted = members.join(weights, "id")
 
     # Few documents meet others: where their ids are few enough to travel, no text is shuffled.
-    wanted = materialize(members.select(F.col("id").alias("doc_id")).distinct(), "wanted")
+    wanted = members.select(F.col("id").alias("doc_id")).distinct()
     texts = docs.join(small_side(wanted), "doc_id", "left_semi")
-    sets = materialize(texts.mapInArrow(_sets, "id long, shingles binary"), "sets")
+    sets = materialize(texts.mapInArrow(_sets, "id long, shingles binary"), "sets", files_for(spark, n_docs, 20_000))
 
-    pivots = members.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"))).alias("p")).select("bucket", (-F.col("p.minus")).alias("pivot"))
+    pivots = weighted.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"))).alias("p")).select("bucket", (-F.col("p.minus")).alias("pivot"))
     pairs = members.join(pivots, "bucket").where("id <> pivot").select("pivot", "id").distinct()
     # The member's set first: ids are spread evenly, and rows of a frequent pivot can be split.
     pairs = pairs.join(sets.withColumnRenamed("shingles", "y"), "id").join(sets.select(F.col("id").alias("pivot"), F.col("shingles").alias("x")), "pivot")
-    tested = materialize(pairs.select("pivot", "id", "x", "y").mapInArrow(_confirm(percent), _TESTED), "tested")
+    tested = materialize(pairs.select("pivot", "id", "x", "y").mapInArrow(_confirm(percent), _TESTED), "tested", files_for(spark, n_docs, 20_000))
     groups = tested.groupBy("pivot").agg(F.count("*").alias("size"), F.min("linked").alias("all")).where("size > 1 and not all")
-    tiles = tested.join(groups.select("pivot", F.ceil(F.col("size") / TILE).alias("tiles")), "pivot")
+    # Few pivots have such members: where they can travel, nothing is dealt by pivot.
+    tiles = tested.join(small_side(groups.select("pivot", F.ceil(F.col("size") / TILE).alias("tiles"))), "pivot")
     tiles = tiles.withColumn("tile", F.pmod(F.xxhash64("id"), "tiles")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
     tiles = tiles.withColumns({"low": F.least("tile", "other"), "high": F.greatest("tile", "other")})
     inner = tiles.groupBy("pivot", "low", "high").applyInPandas(_tile(percent), "a long, b long")
     links = tested.where("linked").select(F.col("pivot").alias("a"), F.col("id").alias("b")).union(inner)
-    labels = components(links)
-    discard(members, wanted, sets, tested)
+    labels = components(links, files_for(spark, tested.count()))
+    discard(members, sets, tested)
     named = full.select("doc_id", "digest").join(reps, "digest").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("component_id"))
     named = named.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     out = scanned.select("doc_id", "n_shingles").join(named, "doc_id", "left")
