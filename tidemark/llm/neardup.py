@@ -191,7 +191,8 @@ def _tile(percent: int):
 def components(links: DataFrame, most: int | None = None) -> DataFrame:
     """(id, label) for each end of the links (a, b): label is the smallest id that it reaches.
     The links are written to `most` files at most."""
-    both = materialize(links.select("a", "b").union(links.select("b", "a")), "links", most)
+    ends = F.explode(F.array(F.struct(F.col("a"), F.col("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")
+    both = materialize(links.select(ends).select("e.a", "e.b"), "links", most)
     files = 1 + both.count() // 500_000  # rows of two numbers
     labels = materialize(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("label")), "labels", files)
     while True:
@@ -227,9 +228,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     scanned = materialize(docs.mapInArrow(_scan, _SCAN), "scanned")
     full = scanned.where("digest is not null and doc_id is not null")
     reps = full.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    n_docs = scanned.count()
+    # A table of its own: a frequent digest can then be split where documents look their group up.
+    reps = materialize(reps, "representatives", files_for(spark, n_docs))
     banded = full.join(reps.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi").select(F.col("doc_id").alias("id"), F.explode("bands").alias("bucket")).distinct()
     sizes = banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    n_docs = scanned.count()
     members = materialize(banded.join(sizes, "bucket"), "members", files_for(spark, BANDS * n_docs))
     weights = members.groupBy("id").agg(F.sum("size").alias("weight"))
     weighted = members.join(weights, "id")
