@@ -45,7 +45,10 @@ def test_lines_of_odd_rows(odd, none, clashing):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     out = dedup_lines(odd)
     assert lines_result(out) == brute_lines(rows) and out.columns[:5] == odd.columns
-    assert dedup_lines(clashing(odd).drop("__n_lines")).count() == len(rows)
+    more = clashing(odd).withColumns({c: F.lit("x") for c in ("__marks", "__firsts", "__id", "a.b")})
+    out = dedup_lines(more)
+    assert lines_result(out) == brute_lines(rows) and out.where("__marks <> 'x' or __firsts <> 'x' or __id <> 'x' or `a.b` <> 'x' or marks <> 'x'").count() == 0
+    assert out.columns == [*[c for c in more.columns if c != "__n_lines"], "__n_lines", "__n_removed"]
     assert dedup_lines(none).collect() == []
 
 
@@ -72,6 +75,7 @@ def test_counts_equal_brute_force(documents, odd, none):
         want = sorted(((r.doc_id, *counts(r.text)) for r in df.collect()), key=str)
         got = text_counts(df).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
         assert sorted(map(tuple, got.collect()), key=str) == want
+    assert judge(odd.withColumn("words", F.lit("x")), "source", ["doc_id", "words"]).where("words = 'x'").count() == odd.count()
     assert text_counts(none).collect() == [] and keep_good(none).collect() == []
 
 

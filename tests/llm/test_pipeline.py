@@ -33,9 +33,10 @@ def test_stages_equal_brute_force(spark, sf_dir, documents):
     assert got == ids and 0 < len(got) < documents.count()
 
 
-def test_stages_keep_columns_and_take_odd_rows(spark, sf_dir, odd, none):
+def test_stages_keep_columns_and_take_odd_rows(spark, sf_dir, odd, none, clashing):
+    more = clashing(odd).drop("__n_lines").withColumn("a.b", odd["lang"])
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        for df in (odd, none):
+        for df in (odd, none, more):
             out = stage(spark, df, sf_dir)
             assert out.dtypes == df.dtypes, name
             assert out.count() <= df.count()

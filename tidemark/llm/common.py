@@ -75,11 +75,17 @@ def lower_ascii(column: Column) -> Column:
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def own_columns(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, in that order: extra columns cannot clash with derived ones."""
-    return df.select(*[F.col(n) for n in names])
+def quoted(df: DataFrame) -> list[Column]:
+    """All columns of df, whatever is in their names."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in df.columns]
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or what follows it among names that df doesn't have."""
+    taken = {n.lower() for n in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def small_side(df: DataFrame, rows: int = 1_000_000) -> DataFrame:

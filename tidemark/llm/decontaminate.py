@@ -155,16 +155,19 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT,
     """
     spark = docs.sparkSession
     small_batches(spark, 500)
+    # Plain names on the way through Python, whatever the columns are called.
+    names, at = docs.columns, docs.columns.index("text")
+    docs = docs.toDF(*[f"c{i}" for i in range(len(names))])
     for block in blocks(items):
         shared = spark.sparkContext.broadcast(block)
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = Index(shared.value, percent, k)
             for batch in batches:
-                column, clean = Column.of(batch.column(batch.schema.names.index("text"))), np.ones(batch.num_rows, bool)
+                column, clean = Column.of(batch.column(at)), np.ones(batch.num_rows, bool)
                 for a, b in chunks(column):
                     clean[[r for r, *_ in index.search(column, a, b)]] = False
                 yield batch.filter(pa.array(clean))
 
         docs = docs.mapInArrow(keep, docs.schema)
-    return docs
+    return docs.toDF(*names)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, materialize, small_batches
+from .common import discard, files_for, free_name, materialize, small_batches
 
 MIN_LINES = 2
 #: Windows with fewer words than this are too common to tell copies from chance.
@@ -85,14 +85,15 @@ def _windows(min_lines: int, min_words: int):
     return run
 
 
-def _delete(min_lines: int, min_words: int, names: list[str]):
-    """Rows with their text rewritten, and n_lines and n_removed (lines with a word)."""
+def _delete(min_lines: int, min_words: int, text_at: int):
+    """Rows whose last two columns are marks and firsts, with their text rewritten, and n_lines and
+    n_removed (lines with a word) in their place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            columns = batch.columns
             texts, totals, removed = [], [], []
-            for text, marks, firsts in zip(column["text"], column["__marks"].to_pylist(), column["__firsts"].to_pylist(), strict=True):
+            for text, marks, firsts in zip(columns[text_at], columns[-2].to_pylist(), columns[-1].to_pylist(), strict=True):
                 own = Lines(text.as_py(), min_lines, min_words)
                 recurring, kept, gone = set(marks or ()), set(firsts or ()), set()
                 for i, mark in zip(own.windows, own.marks, strict=True):
@@ -101,15 +102,16 @@ def _delete(min_lines: int, min_words: int, names: list[str]):
                 totals.append(len(own.at))
                 removed.append(len(gone))
                 texts.append(text.as_py() if not gone else "\n".join([x for i, x in enumerate(own.lines) if i not in gone]))
-            column["text"] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*[column[n] for n in names], pa.array(totals, pa.int64()), pa.array(removed, pa.int64())], names=[*names, "__n_lines", "__n_removed"])
+            columns[text_at], columns[-2], columns[-1] = pa.array(texts, pa.string()), pa.array(totals, pa.int64()), pa.array(removed, pa.int64())
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
     return run
 
 
 def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
     """The rows and columns of docs (with doc_id, text), text rewritten, and the columns
-    __n_lines and __n_removed: lines with a word before, and how many of them are deleted.
+    __n_lines and __n_removed: lines with a word before, and how many of them are deleted
+    (columns of these two names are replaced).
 
     A window is `min_lines` consecutive lines with a word, not counting lines without one, that
     have at least `min_words` words together. Lines of a window whose lines also start earlier
@@ -122,15 +124,20 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MI
     name are carried through.
     """
     small_batches(docs.sparkSession, 500)
+    docs = docs.drop("__n_lines", "__n_removed")
+    files = files_for(docs.sparkSession, 10 * docs.count())
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     marks = materialize(texts.mapInArrow(_marks(min_lines, min_words), "mark long, doc_id long, n long"), "line-marks")
-    recurring = materialize(marks.groupBy("mark").agg(F.sum("n").alias("n")).where("n > 1").select("mark"), "recurring")
-    own = materialize(marks.select("mark", "doc_id").join(recurring, "mark").groupBy("doc_id").agg(F.collect_set("mark").alias("marks")), "own-marks")
+    recurring = materialize(marks.groupBy("mark").agg(F.sum("n").alias("n")).where("n > 1").select("mark"), "recurring", files)
+    own = materialize(marks.select("mark", "doc_id").join(recurring, "mark").groupBy("doc_id").agg(F.collect_set("mark").alias("marks")), "own-marks", files)
     windows = texts.join(own, "doc_id").select("doc_id", "text", "marks").mapInArrow(_windows(min_lines, min_words), "window binary, doc_id long, place long")
     firsts = windows.groupBy("window").agg(F.min(F.struct("doc_id", "place")).alias("at"))
-    firsts = materialize(firsts.groupBy("at.doc_id").agg(F.collect_list("at.place").alias("firsts")), "firsts")
+    firsts = materialize(firsts.groupBy("at.doc_id").agg(F.collect_list("at.place").alias("firsts")), "firsts", files)
     discard(marks, recurring)
-    notes = own.join(firsts, "doc_id", "left").select(F.col("doc_id").alias("__id"), F.col("marks").alias("__marks"), F.col("firsts").alias("__firsts"))
-    out = docs.join(notes, docs["doc_id"].cast("long") == notes["__id"], "left").drop("__id")
-    schema = T.StructType([*docs.schema.fields, T.StructField("__n_lines", T.LongType()), T.StructField("__n_removed", T.LongType())])
-    return out.mapInArrow(_delete(min_lines, min_words, docs.columns), schema)
+    of_id, of_marks, of_firsts = (free_name(docs, n) for n in ("__id", "__marks", "__firsts"))
+    notes = own.join(firsts, "doc_id", "left").select(F.col("doc_id").alias(of_id), F.col("marks").alias(of_marks), F.col("firsts").alias(of_firsts))
+    out = docs.join(notes, docs["doc_id"].cast("long") == notes[of_id], "left").drop(of_id)
+    # Plain names on the way through Python, whatever the columns are called.
+    plain = [f"c{i}" for i in range(len(out.columns))]
+    schema = T.StructType([T.StructField(n, f.dataType) for n, f in zip(plain, [*docs.schema.fields, *[T.StructField("", T.LongType())] * 2], strict=True)])
+    return out.toDF(*plain).mapInArrow(_delete(min_lines, min_words, docs.columns.index("text")), schema).toDF(*docs.columns, "__n_lines", "__n_removed")

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, quoted
 
 MIN_WORDS = 50
 #: In hundredths: words in repeated three-word windows.
@@ -33,24 +33,24 @@ _PLACE = (1 << 26) - 1
 
 
 def _repeated(df: DataFrame) -> DataFrame:
-    """Adds n_repeat_words to a frame with `words`: sort windows by hash, keep equal neighbours,
+    """Adds n_repeat_words to a frame with `__words`: sort windows by hash, keep equal neighbours,
     confirm them on whole hashes, and measure the union of their words."""
-    n = F.size("words")
-    hashed = F.transform(F.slice("words", F.lit(1), F.greatest(n - 2, F.lit(0))), lambda w, i: F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2)))
-    df = df.withColumn("windows", hashed)
-    df = df.withColumn("ordered", F.sort_array(F.transform("windows", lambda h, i: h.bitwiseAND(F.lit(~_PLACE)).bitwiseOR(i.cast("long")))))
+    n = F.size("__words")
+    hashed = F.transform(F.slice("__words", F.lit(1), F.greatest(n - 2, F.lit(0))), lambda w, i: F.xxhash64(w, F.get("__words", i + 1), F.get("__words", i + 2)))
+    df = df.withColumn("__windows", hashed)
+    df = df.withColumn("__ordered", F.sort_array(F.transform("__windows", lambda h, i: h.bitwiseAND(F.lit(~_PLACE)).bitwiseOR(i.cast("long")))))
 
     def near(x: Column, i: Column) -> Column:
-        same = lambda j: F.shiftright(F.get("ordered", j), 26) == F.shiftright(x, 26)
+        same = lambda j: F.shiftright(F.get("__ordered", j), 26) == F.shiftright(x, 26)
         return F.coalesce(same(i + 1), F.lit(False)) | (i > 0) & F.coalesce(same(F.greatest(i - 1, F.lit(0))), F.lit(False))
 
-    df = df.withColumn("places", F.transform(F.filter("ordered", near), lambda x: x.bitwiseAND(F.lit(_PLACE)).cast("int")))
+    df = df.withColumn("__places", F.transform(F.filter("__ordered", near), lambda x: x.bitwiseAND(F.lit(_PLACE)).cast("int")))
     # Equal high bits are not yet equal windows: order the few that are left by the whole hash.
-    df = df.withColumn("exact", F.array_sort(F.transform("places", lambda p: F.struct(F.get("windows", p).alias("h"), p.alias("p")))))
-    pair = lambda x, j: F.coalesce(F.get("exact", j)["h"] == x["h"], F.lit(False))
-    df = df.withColumn("starts", F.array_sort(F.transform(F.filter("exact", lambda x, i: pair(x, i + 1) | (i > 0) & pair(x, F.greatest(i - 1, F.lit(0)))), lambda x: x["p"])))
-    reach = F.transform("starts", lambda p, i: F.least(F.coalesce(F.get("starts", i + 1) - p, F.lit(3)), F.lit(3)).cast("long"))
-    return df.withColumn("n_repeat_words", F.aggregate(reach, F.lit(0).cast("long"), lambda a, x: a + x)).drop("windows", "ordered", "places", "exact", "starts")
+    df = df.withColumn("__exact", F.array_sort(F.transform("__places", lambda p: F.struct(F.get("__windows", p).alias("h"), p.alias("p")))))
+    pair = lambda x, j: F.coalesce(F.get("__exact", j)["h"] == x["h"], F.lit(False))
+    df = df.withColumn("__starts", F.array_sort(F.transform(F.filter("__exact", lambda x, i: pair(x, i + 1) | (i > 0) & pair(x, F.greatest(i - 1, F.lit(0)))), lambda x: x["p"])))
+    reach = F.transform("__starts", lambda p, i: F.least(F.coalesce(F.get("__starts", i + 1) - p, F.lit(3)), F.lit(3)).cast("long"))
+    return df.withColumn("n_repeat_words", F.aggregate(reach, F.lit(0).cast("long"), lambda a, x: a + x)).drop("__windows", "__ordered", "__places", "__exact", "__starts")
 
 
 def text_counts(docs: DataFrame) -> DataFrame:
@@ -62,15 +62,15 @@ def text_counts(docs: DataFrame) -> DataFrame:
     equal counts. An empty table gives an empty one. Columns of docs with the names of these
     counts are replaced.
     """
-    df = docs.withColumn("words", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(_WORD), F.lit(0)))
-    df = df.withColumn("lines", F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    df = docs.withColumn("__words", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(_WORD), F.lit(0)))
+    df = df.withColumn("__lines", F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     df = df.withColumns({
-        "n_words": F.when(F.size("words") <= _PLACE, F.size("words").cast("long")).otherwise(F.raise_error(F.lit("a text has more than 2^26 words")).cast("long")),
-        "word_chars": F.length(F.array_join("words", "")).cast("long"),
+        "n_words": F.when(F.size("__words") <= _PLACE, F.size("__words").cast("long")).otherwise(F.raise_error(F.lit("a text has more than 2^26 words")).cast("long")),
+        "word_chars": F.length(F.array_join("__words", "")).cast("long"),
         "n_symbols": F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^#*$%&|<>]+", "")).cast("long"),
-        "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
+        "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
     })
-    return _repeated(df).drop("words", "lines")
+    return _repeated(df).drop("__words", "__lines")
 
 
 def base_failed() -> Column:
@@ -117,6 +117,6 @@ def keep_good(docs: DataFrame, host: str = "source") -> DataFrame:
 
     As judge(); columns of docs with the names of its counts are carried through untouched.
     """
-    marked = docs.select(F.struct(*docs.columns).alias("__row"), F.col("text"), F.col(host).alias("__source"))
+    marked = docs.select(F.struct(*quoted(docs)).alias("__row"), F.col("text"), F.col(host).alias("__source"))
     kept = judge(marked, "__source", ["__row"]).where("kept")
     return kept.select("__row.*")
