@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, small_side, table
+from tidemark.llm.common import materialize, quoted, small_side, table
 from tidemark.llm.decontaminate import drop_contaminated
 from tidemark.llm.lines import dedup_lines
 from tidemark.llm.neardup import near_duplicates
@@ -35,7 +35,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     out = dedup_lines(docs).where("__n_removed = 0 or __n_removed < __n_lines")
     out = out.withColumn("n_chars", F.when(F.col("__n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out.select(*quoted(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     As neardup.near_duplicates(); documents without words and with a null doc_id stay.
     """
     gone = materialize(near_duplicates(docs, percent=80).where("not kept").select("doc_id").distinct(), "near-copies")
-    return docs.join(small_side(gone), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(small_side(gone), "doc_id", "left_anti")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
