@@ -60,7 +60,7 @@ def main() -> None:
     times: dict[str, float] = {"startup": round(startup, 3)}
     work = tempfile.mkdtemp(prefix="tidemark-bench-")
     try:
-        # As the reference's workload: one table of ratings is read, four are written.
+        # One table of ratings is read, four are written.
         views.ratings(spark, sf_dir).write.parquet(f"{work}/ratings")
         views.items(spark, sf_dir).write.parquet(f"{work}/items")
         runs = []
