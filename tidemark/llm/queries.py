@@ -227,23 +227,22 @@ FROM o GROUP BY conv_id
 
 @query
 def op8_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pages as archive, against a replica in which every 97th page has lost its first
-    letter e and every 389th record is gone."""
+    """The pages as archive, against a replica as a faulty copier would leave it: it drops the
+    fragments of addresses, and refuses pages that are cut off before their closing tag."""
     from .warc import audit, warc_record
 
     pages = table(spark, sf_dir, "pages")
-    record = lambda html: warc_record(F.col("page_id"), F.col("url"), html).alias("record")
-    rotten = F.when(F.col("page_id") % 97 == 13, F.regexp_replace("html", "(?s)^([^e]*)e", "$1")).otherwise(F.col("html"))
-    primary = pages.select(F.col("page_id").alias("id"), record(F.col("html")))
-    replica = pages.where(F.coalesce(F.col("page_id") % 389 != 7, F.lit(True))).select(F.col("page_id").alias("id"), record(rotten))
+    record = lambda url: warc_record(F.col("page_id"), url, F.col("html")).alias("record")
+    primary = pages.select(F.col("page_id").alias("id"), record(F.col("url")))
+    replica = pages.where(F.col("html").endswith("</html>")).select(F.col("page_id").alias("id"), record(F.regexp_replace("url", "#.*$", "")))
     return audit(primary, replica).withColumnRenamed("id", "page_id")
 
 
 ORACLES["op8_merkle_audit"] = r"""
-WITH r AS (SELECT page_id, html, strlen('WARC/1.0' || 'WARC-Type: resource' || 'WARC-Record-ID: <urn:id:' || page_id || '>' || 'WARC-Target-URI: ' || url
+WITH r AS (SELECT page_id, url, html, strlen('WARC/1.0' || 'WARC-Type: resource' || 'WARC-Record-ID: <urn:id:' || page_id || '>' || 'WARC-Target-URI: ' || url
                   || 'Content-Type: text/html' || 'Content-Length: ' || strlen(html)) + 18 + strlen(html) AS n FROM pages),
 o AS (SELECT page_id, page_id // 4096 AS file, n, (sum(n) OVER (PARTITION BY page_id // 4096 ORDER BY page_id) - n)::BIGINT AS off,
-             page_id % 389 = 7 AS gone, page_id % 97 = 13 AND contains(html, 'e') AS rot FROM r)
+             NOT ends_with(html, '</html>') AS gone, contains(url, '#') AS rot FROM r)
 SELECT page_id, file, off AS "offset", n AS length, CASE WHEN gone THEN 'missing' ELSE 'changed' END AS kind
 FROM o WHERE gone OR rot
 """
