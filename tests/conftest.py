@@ -14,8 +14,8 @@ def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
 
     base = tmp_path_factory.mktemp("spark")
-    builder = SparkSession.builder.master("local[8]").appName("tests").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-    builder = builder.config("spark.sql.shuffle.partitions", "4").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g")
+    builder = SparkSession.builder.master("local[4]").appName("tests").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+    builder = builder.config("spark.sql.shuffle.partitions", "3").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g")
     spark = builder.config("spark.sql.warehouse.dir", str(base / "warehouse")).config("spark.checkpoint.dir", f"file://{base}/shared").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     yield spark
