@@ -27,6 +27,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return keep_good(docs)
 
 
+def published_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """As quality_rules(), by the published rules of quality.outside_published()."""
+    return keep_good(docs, published=True)
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Runs of lines that also occur earlier are deleted; n_chars follows the text.
 
@@ -67,13 +72,21 @@ STAGES = [
     ("packing", packing),
 ]
 
+#: The stages of run_whole().
+WHOLE_STAGES = [("quality rules", published_rules), *STAGES[1:]]
+
 #: SQL can't tokenise; the pipeline is tested against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, stages: list = STAGES) -> DataFrame:
     """All stages over the documents of sf_dir."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
+    for name, stage in stages[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return stages[-1][1](spark, docs, sf_dir)
+
+
+def run_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As run(), by WHOLE_STAGES."""
+    return run(spark, sf_dir, WHOLE_STAGES)

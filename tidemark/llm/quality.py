@@ -20,6 +20,11 @@ MIN_WORDS = 50
 MAX_REPEATED = 50
 #: A text with more symbols than this many per word is markup or noise.
 MAX_SYMBOLS_PER_WORD = 1
+#: The published bounds (Gopher's): symbols per word and duplicate lines per line in hundredths,
+#: characters per word.
+PUBLISHED_SYMBOLS = 10
+PUBLISHED_DUP_LINES = 30
+PUBLISHED_WORD_CHARS = (3, 10)
 MAX_HOST_RATE = 0.5
 #: Bounds of the prior's strength, in documents.
 PRIOR = (1.0, 1e6)
@@ -54,8 +59,8 @@ def _repeated(df: DataFrame) -> DataFrame:
 
 
 def text_counts(docs: DataFrame) -> DataFrame:
-    """docs (a column text, any others) with the columns n_words, word_chars, n_symbols,
-    n_dup_lines and n_repeat_words (long) added.
+    """docs (a column text, any others) with the columns n_words, word_chars, n_symbols, n_lines
+    (with a word), n_dup_lines and n_repeat_words (long) added.
 
     A null text counts as empty: all zero. Texts of any length are counted whole, up to 2^26
     words (beyond, an error is raised rather than a wrong count returned). Repeated rows get
@@ -68,6 +73,7 @@ def text_counts(docs: DataFrame) -> DataFrame:
         "n_words": F.when(F.size("__words") <= _PLACE, F.size("__words").cast("long")).otherwise(F.raise_error(F.lit("a text has more than 2^26 words")).cast("long")),
         "word_chars": F.length(F.array_join("__words", "")).cast("long"),
         "n_symbols": F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^#*$%&|<>]+", "")).cast("long"),
+        "n_lines": F.size("__lines").cast("long"),
         "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
     })
     return _repeated(df).drop("__words", "__lines")
@@ -81,6 +87,14 @@ def noisy() -> Column:
     return F.col("n_symbols") > MAX_SYMBOLS_PER_WORD * F.col("n_words")
 
 
+def outside_published() -> Column:
+    """More symbols per word or duplicate lines than the published bounds, or words too short or
+    too long on average; whatever is noisy() is outside too."""
+    low, high = PUBLISHED_WORD_CHARS
+    length = (F.col("word_chars") < low * F.col("n_words")) | (F.col("word_chars") > high * F.col("n_words"))
+    return (100 * F.col("n_symbols") > PUBLISHED_SYMBOLS * F.col("n_words")) | (100 * F.col("n_dup_lines") > PUBLISHED_DUP_LINES * F.col("n_lines")) | length
+
+
 def host_verdicts(judged: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame:
     """One row per host of a frame with columns host and failed: host, n, n_failed, rate (shrunk), rejected."""
     hosts = judged.where("host is not null").groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("failed").cast("long")).alias("n_failed"))
@@ -93,15 +107,16 @@ def host_verdicts(judged: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFra
     return hosts.withColumn("rate", rate).withColumn("rejected", F.col("rate") > max_rate)
 
 
-def judge(docs: DataFrame, host: str, keep: list[str], max_rate: float = MAX_HOST_RATE) -> DataFrame:
+def judge(docs: DataFrame, host: str, keep: list[str], max_rate: float = MAX_HOST_RATE, published: bool = False) -> DataFrame:
     """The columns `keep` of docs, the counts of text_counts(), base_failed, and kept.
 
     kept: the document fails neither a base rule (too few words, too repetitive) nor the symbol
-    rule, and its host isn't rejected. A null host has no verdict: its documents stand on their
+    rule (with `published` the rules of outside_published()), and its host isn't rejected by the
+    share of its documents that fail any of these. A null host has no verdict: its documents stand on their
     own. The judged rows are written once to the shared folder, so the counts are made once.
     """
     judged = text_counts(docs.select(*keep, *({"text", host} - set(keep))).withColumn("__host", F.col(host)))
-    judged = judged.withColumn("base_failed", base_failed()).withColumn("__noisy", noisy())
+    judged = judged.withColumn("base_failed", base_failed()).withColumn("__noisy", outside_published() if published else noisy())
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     judged = materialize(judged.select(*[c for c in keep if c not in counts], *counts, "__host", "__noisy"), "judged")
     hosts = host_verdicts(judged.select(F.col("__host").alias("host"), (F.col("base_failed") | F.col("__noisy")).alias("failed")), max_rate)
@@ -112,11 +127,11 @@ def judge(docs: DataFrame, host: str, keep: list[str], max_rate: float = MAX_HOS
     return out.withColumn("kept", ~F.col("base_failed") & ~F.col("__noisy") & F.col("__bad").isNull()).drop("__host", "__bad", "__noisy")
 
 
-def keep_good(docs: DataFrame, host: str = "source") -> DataFrame:
+def keep_good(docs: DataFrame, host: str = "source", published: bool = False) -> DataFrame:
     """The rows of docs that judge() keeps, with the columns of docs.
 
     As judge(); columns of docs with the names of its counts are carried through untouched.
     """
     marked = docs.select(F.struct(*quoted(docs)).alias("__row"), F.col("text"), F.col(host).alias("__source"))
-    kept = judge(marked, "__source", ["__row"]).where("kept")
+    kept = judge(marked, "__source", ["__row"], published=published).where("kept")
     return kept.select("__row.*")

@@ -59,6 +59,19 @@ FROM j
 """
 
 
+@query
+def op10_quality_rules_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op10_quality_rules, by the published rules."""
+    from .quality import judge
+
+    out = judge(table(spark, sf_dir, "documents"), "source", ["doc_id"], published=True)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+_OUTSIDE_SQL = "(100 * n_symbols > 10 * n_words OR 100 * n_dup_lines > 30 * n_lines OR word_chars < 3 * n_words OR word_chars > 10 * n_words) AS noisy"
+ORACLES["op10_quality_rules_whole"] = ORACLES["op10_quality_rules"].replace("n_symbols > n_words AS noisy", _OUTSIDE_SQL).replace("AS n_dup_lines, coalesce", "AS n_dup_lines, len(ls) AS n_lines, coalesce")
+
+
 @query
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html import extract_main_text
