@@ -38,7 +38,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A document that loses every line it had is a copy of what is kept elsewhere, and goes; one
     that had none stays. As lines.dedup_lines() otherwise.
     """
-    out = dedup_lines(docs).where("__n_removed = 0 or __n_removed < __n_lines")
+    return _without_repeats(docs, dedup_lines(docs))
+
+
+def whole_runs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """As line_dedup(), by whole runs."""
+    return _without_repeats(docs, dedup_lines(docs, runs=True))
+
+
+def _without_repeats(docs: DataFrame, out: DataFrame) -> DataFrame:
+    out = out.where("__n_removed = 0 or __n_removed < __n_lines")
     out = out.withColumn("n_chars", F.when(F.col("__n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*quoted(docs))
 
@@ -73,7 +82,7 @@ STAGES = [
 ]
 
 #: The stages of run_whole().
-WHOLE_STAGES = [("quality rules", published_rules), *STAGES[1:]]
+WHOLE_STAGES = [("quality rules", published_rules), ("line dedup", whole_runs), *STAGES[2:]]
 
 #: SQL can't tokenise; the pipeline is tested against a brute-force version.
 ORACLE_SQL = None

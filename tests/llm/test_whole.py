@@ -3,7 +3,9 @@
 import duckdb
 from pyspark.sql import functions as F
 
-from tests.llm.conftest import DOCUMENTS
+from tests.llm.conftest import DOCUMENTS, words
+from tests.llm.test_lines_quality import ENDS, lines_result
+from tidemark.llm.lines import dedup_lines
 from tidemark.llm.queries import ORACLES, QUERIES
 from tidemark.llm.quality import host_verdicts, judge, keep_good
 
@@ -37,3 +39,41 @@ def test_junk_between_separators_goes_and_counts_against_its_host(spark):
     assert {2, 3, 1001} <= {r.doc_id for r in keep_good(df).collect()}
     judged = judge(df, "source", ["doc_id", "source"], published=True)
     assert host_verdicts(judged.select(F.col("source").alias("host"), (~F.col("kept")).alias("failed"))).where("host = 'spam' and rejected").count() == 1
+
+
+def brute_runs(rows, size, least):
+    """Every run of `size` lines or more with enough words, of any length up to 30 lines."""
+    first, found = {}, []
+    for i, t in rows:
+        own = [(p, x.strip(ENDS)) for p, x in enumerate((t or "").split("\n")) if x.strip(ENDS)]
+        n, runs = [len(words(x)) for _, x in own], []
+        for a in range(len(own)):
+            for b in range(a + size, min(len(own), a + 30) + 1):
+                if sum(n[a:b]) >= least:
+                    key = tuple(x for _, x in own[a:b])
+                    runs.append((a, key, {p for p, _ in own[a:b]}))
+                    if i is not None:
+                        first[key] = min(first.get(key, (i, a)), (i, a))
+        found.append((i, t, len(own), runs))
+    out = []
+    for i, t, n, runs in found:
+        gone = set().union(*[p for a, key, p in runs if i is not None and first[key] < (i, a)])
+        out.append((i, None if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if p not in gone), n, len(gone)))
+    return sorted(out, key=str)
+
+
+def test_runs_equal_brute_force(documents, odd, none):
+    for df in (documents, odd):
+        rows = [(r.doc_id, r.text) for r in df.collect()]
+        assert lines_result(dedup_lines(df, runs=True)) == brute_runs(rows, 2, 10)
+    assert dedup_lines(none, runs=True).collect() == []
+
+
+def test_short_lines_of_a_run_go(spark):
+    verse = "roses are red\nviolets\nare blue\nso they say\nand you"
+    long = "a line of more than ten words that is long enough alone here"
+    mixed = f"{long}\nx\ny\nz\n{long} too"
+    texts = [(1, f"top\n{verse}\nend"), (2, f"other\n{verse}\nlast"), (3, mixed), (4, f"new\n{mixed}\nold"), (5, "roses are red\nviolets"), (6, f"x\ny\nz\n{long}?")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in dedup_lines(df, runs=True).collect()}
+    assert got == {**dict(texts), 2: "other\nlast", 4: "new\nold"}

@@ -7,6 +7,11 @@ and each match is extended both ways, to all windows around it, which meet by co
 merge equal windows into the earliest place before they move, so that a line or a run that a
 third of all documents share is no hot key. A document then deletes the union of its windows
 that occur earlier.
+
+With whole runs, a window is no fixed number of lines: from each line on, and up to each line, it is
+the shortest run with `min_lines` lines and `min_words` words. A longer run that occurs twice is
+the union of such windows (of a line inside, the words after it are too few only if the window up to
+the run's end holds it), so whole maximal runs go, short lines within them included.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from pyspark.sql import types as T
 from .common import discard, files_for, free_name, materialize, small_batches
 
 MIN_LINES = 2
-#: Windows with fewer words than this are too common to tell copies from chance.
+#: Windows (or with whole runs, runs) with fewer words than this are too common to tell copies from chance.
 MIN_WORDS = 10
 
 _ENDS = " \t\n\x0b\f\r"
@@ -38,29 +43,58 @@ def _digest(s: str, size: int) -> bytes:
 class Lines:
     """The windows of one text: places (numbers of lines), fingerprints and content digests."""
 
-    def __init__(self, text: str | None, min_lines: int, min_words: int) -> None:
+    def __init__(self, text: str | None, min_lines: int, min_words: int, runs: bool = False) -> None:
         self.lines = (text or "").split("\n")
         stripped = [(i, s) for i, x in enumerate(self.lines) if (s := x.strip(_ENDS))]
         self.at = [i for i, _ in stripped]
         self.texts = [s for _, s in stripped]
         self.words = [len(_WORD.findall(s)) for s in self.texts]
         hashes = [int.from_bytes(_digest(s, 8), "little", signed=True) for s in self.texts]
-        self.windows = [i for i in range(len(self.texts) - min_lines + 1) if sum(self.words[i : i + min_lines]) >= min_words]
-        self.marks = [min(hashes[i : i + min_lines]) for i in self.windows]
-        self.size = min_lines
-
-    def content(self, i: int) -> bytes:
-        return _digest("\n".join(self.texts[i : i + self.size]), 16)
-
-
-def _marks(min_lines: int, min_words: int):
+        if runs:
+            self.windows = self._shortest(min_lines, min_words)
+        else:
+            self.windows = [(i, i + min_lines) for i in range(len(self.texts) - min_lines + 1) if sum(self.words[i : i + min_lines]) >= min_words]
+        self.marks = [min(hashes[a:b]) for a, b in self.windows]
+        # Every line has a word, so no window has more lines than this.
+        self.span = max(min_lines, min_words) + 1
+
+    def _shortest(self, min_lines: int, min_words: int) -> list[tuple[int, int]]:
+        """The shortest windows from each line on and up to each line, in order."""
+        found, n = set(), len(self.words)
+        total = end = 0
+        for a in range(n):
+            while end < n and (total < min_words or end - a < min_lines):
+                total += self.words[end]
+                end += 1
+            if total >= min_words and end - a >= min_lines:
+                found.add((a, end))
+            total -= self.words[a]
+        total, start = 0, n
+        for b in range(n, 0, -1):
+            while start > 0 and (total < min_words or b - start < min_lines):
+                start -= 1
+                total += self.words[start]
+            if total >= min_words and b - start >= min_lines:
+                found.add((start, b))
+            total -= self.words[b - 1]
+        return sorted(found)
+
+    def place(self, a: int, b: int) -> int:
+        """In the order of (a, b)."""
+        return a * self.span + b - a
+
+    def content(self, a: int, b: int) -> bytes:
+        return _digest("\n".join(self.texts[a:b]), 16)
+
+
+def _marks(min_lines: int, min_words: int, runs: bool):
     """(mark, doc_id, n): the fingerprints of each document and how many windows have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             marks, docs, counts = [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                values, n = np.unique(np.array(Lines(text.as_py(), min_lines, min_words).marks, np.int64), return_counts=True)
+                values, n = np.unique(np.array(Lines(text.as_py(), min_lines, min_words, runs).marks, np.int64), return_counts=True)
                 marks += values.tolist()
                 counts += n.tolist()
                 docs += [doc_id] * len(n)
@@ -69,23 +103,23 @@ def _marks(min_lines: int, min_words: int):
     return run
 
 
-def _windows(min_lines: int, min_words: int):
+def _windows(min_lines: int, min_words: int, runs: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, docs, places = [], [], []
             for doc_id, text, marks in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                own, recurring = Lines(text.as_py(), min_lines, min_words), set(marks)
-                for i, mark in zip(own.windows, own.marks, strict=True):
+                own, recurring = Lines(text.as_py(), min_lines, min_words, runs), set(marks)
+                for (a, b), mark in zip(own.windows, own.marks, strict=True):
                     if mark in recurring:
-                        keys.append(own.content(i))
+                        keys.append(own.content(a, b))
                         docs.append(doc_id)
-                        places.append(i)
+                        places.append(own.place(a, b))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(docs, pa.int64()), pa.array(places, pa.int64())], names=["window", "doc_id", "place"])
 
     return run
 
 
-def _delete(min_lines: int, min_words: int, text_at: int):
+def _delete(min_lines: int, min_words: int, runs: bool, text_at: int):
     """Rows whose last two columns are marks and firsts, with their text rewritten, and n_lines and
     n_removed (lines with a word) in their place."""
 
@@ -94,11 +128,11 @@ def _delete(min_lines: int, min_words: int, text_at: int):
             columns = batch.columns
             texts, totals, removed = [], [], []
             for text, marks, firsts in zip(columns[text_at], columns[-2].to_pylist(), columns[-1].to_pylist(), strict=True):
-                own = Lines(text.as_py(), min_lines, min_words)
+                own = Lines(text.as_py(), min_lines, min_words, runs)
                 recurring, kept, gone = set(marks or ()), set(firsts or ()), set()
-                for i, mark in zip(own.windows, own.marks, strict=True):
-                    if mark in recurring and i not in kept:
-                        gone.update(own.at[i : i + min_lines])
+                for (a, b), mark in zip(own.windows, own.marks, strict=True):
+                    if mark in recurring and own.place(a, b) not in kept:
+                        gone.update(own.at[a:b])
                 totals.append(len(own.at))
                 removed.append(len(gone))
                 texts.append(text.as_py() if not gone else "\n".join([x for i, x in enumerate(own.lines) if i not in gone]))
@@ -108,7 +142,7 @@ def _delete(min_lines: int, min_words: int, text_at: int):
     return run
 
 
-def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, runs: bool = False) -> DataFrame:
     """The rows and columns of docs (with doc_id, text), text rewritten, and the columns
     __n_lines and __n_removed: lines with a word before, and how many of them are deleted
     (columns of these two names are replaced).
@@ -118,6 +152,9 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MI
     (smaller doc_id, or the same document and an earlier line) are deleted, judged on the input;
     other lines stay as they are, joined by newlines.
 
+    With `runs`, whole runs go: every run of at least `min_lines` lines that has at least `min_words`
+    words in all and also starts earlier, however short the lines in it.
+
     Null texts stay null and have no lines. Rows with a null doc_id stay as they are and repeat
     nothing. Rows that share a doc_id are one document's versions: a place in one is a place in
     the others. Texts are read whole; an empty table gives an empty one; other columns of any
@@ -127,10 +164,10 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MI
     docs = docs.drop("__n_lines", "__n_removed")
     files = files_for(docs.sparkSession, 10 * docs.count())
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    marks = materialize(texts.mapInArrow(_marks(min_lines, min_words), "mark long, doc_id long, n long"), "line-marks")
+    marks = materialize(texts.mapInArrow(_marks(min_lines, min_words, runs), "mark long, doc_id long, n long"), "line-marks")
     recurring = materialize(marks.groupBy("mark").agg(F.sum("n").alias("n")).where("n > 1").select("mark"), "recurring", files)
     own = materialize(marks.select("mark", "doc_id").join(recurring, "mark").groupBy("doc_id").agg(F.collect_set("mark").alias("marks")), "own-marks", files)
-    windows = texts.join(own, "doc_id").select("doc_id", "text", "marks").mapInArrow(_windows(min_lines, min_words), "window binary, doc_id long, place long")
+    windows = texts.join(own, "doc_id").select("doc_id", "text", "marks").mapInArrow(_windows(min_lines, min_words, runs), "window binary, doc_id long, place long")
     firsts = windows.groupBy("window").agg(F.min(F.struct("doc_id", "place")).alias("at"))
     firsts = materialize(firsts.groupBy("at.doc_id").agg(F.collect_list("at.place").alias("firsts")), "firsts", files)
     discard(marks, recurring)
@@ -140,4 +177,4 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MI
     # Plain names on the way through Python, whatever the columns are called.
     plain = [f"c{i}" for i in range(len(out.columns))]
     schema = T.StructType([T.StructField(n, f.dataType) for n, f in zip(plain, [*docs.schema.fields, *[T.StructField("", T.LongType())] * 2], strict=True)])
-    return out.toDF(*plain).mapInArrow(_delete(min_lines, min_words, docs.columns.index("text")), schema).toDF(*docs.columns, "__n_lines", "__n_removed")
+    return out.toDF(*plain).mapInArrow(_delete(min_lines, min_words, runs, docs.columns.index("text")), schema).toDF(*docs.columns, "__n_lines", "__n_removed")
