@@ -42,8 +42,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def whole_runs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As line_dedup(), by whole runs."""
-    return _without_repeats(docs, dedup_lines(docs, runs=True))
+    """As line_dedup(), by whole runs, those of one line included."""
+    return _without_repeats(docs, dedup_lines(docs, min_lines=1, runs=True))
 
 
 def _without_repeats(docs: DataFrame, out: DataFrame) -> DataFrame:

@@ -66,9 +66,14 @@ def test_runs_equal_brute_force(documents, odd, none):
     for df in (documents, odd):
         rows = [(r.doc_id, r.text) for r in df.collect()]
         assert lines_result(dedup_lines(df, runs=True)) == brute_runs(rows, 2, 10)
+        assert lines_result(dedup_lines(df, min_lines=1, runs=True)) == brute_runs(rows, 1, 10)
     assert dedup_lines(none, runs=True).collect() == []
 
 
+def test_whole_runs_equal_sql(spark, sf_dir):
+    equal_sql(spark, sf_dir, "op6_line_dedup_whole")
+
+
 def test_short_lines_of_a_run_go(spark):
     verse = "roses are red\nviolets\nare blue\nso they say\nand you"
     long = "a line of more than ten words that is long enough alone here"
@@ -77,3 +82,11 @@ def test_short_lines_of_a_run_go(spark):
     df = spark.createDataFrame(texts, "doc_id long, text string")
     got = {r.doc_id: r.text for r in dedup_lines(df, runs=True).collect()}
     assert got == {**dict(texts), 2: "other\nlast", 4: "new\nold"}
+
+
+def test_a_line_among_other_neighbours_goes(spark):
+    line, short = " ".join(f"w{i}" for i in range(10)), " ".join(f"w{i}" for i in range(9))
+    texts = [(1, f"a\n{line}\nb\n{short}"), (2, f"c\n  {line}\nd"), (3, f"e\n{short}\nf"), (4, line)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in dedup_lines(df, min_lines=1, runs=True).collect()}
+    assert got == {**dict(texts), 2: "c\nd", 4: ""}

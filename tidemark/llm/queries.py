@@ -147,6 +147,29 @@ FROM documents d LEFT JOIN k USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN
 """
 
 
+@query
+def op6_line_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op6_line_dedup, by whole runs, those of one line included."""
+    from .lines import dedup_lines
+
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_lines=1, runs=True)
+    return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+#: All runs of 1 to 10 lines with ten words: a longer one is their union.
+ORACLES["op6_line_dedup_whole"] = ORACLES["op6_line_dedup"][: ORACLES["op6_line_dedup"].index("g AS")] + r"""
+a AS (SELECT doc_id, list(s ORDER BY i) AS ss, list(w ORDER BY i) AS ws, list(p ORDER BY i) AS ps, count(*) AS n FROM n GROUP BY doc_id),
+g AS (SELECT doc_id, i, array_to_string(ss[i:i + k - 1], chr(10)) AS win, ps[i:i + k - 1] AS qs
+      FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM a), (SELECT unnest(range(1, 11)) AS k) WHERE i + k - 1 <= n AND list_sum(ws[i:i + k - 1]) >= 10),
+f AS (SELECT doc_id, qs, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS rn FROM g),
+gone AS (SELECT DISTINCT doc_id, unnest(qs) AS p FROM f WHERE rn > 1),
+k AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY p) AS t FROM l ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),
+c AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, coalesce(a.n, 0)::BIGINT AS n_lines, coalesce(c.n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM documents d LEFT JOIN k USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN a USING (doc_id)
+"""
+
+
 @query
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import find_items
