@@ -1,10 +1,12 @@
 """The operators that do the whole job beside the queries whose SQL is fixed."""
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import DOCUMENTS, words
 from tests.llm.test_lines_quality import ENDS, lines_result
+from tidemark.llm.html import main_text
 from tidemark.llm.lines import dedup_lines
 from tidemark.llm.queries import ORACLES, QUERIES
 from tidemark.llm.quality import host_verdicts, judge, keep_good
@@ -90,3 +92,21 @@ def test_a_line_among_other_neighbours_goes(spark):
     df = spark.createDataFrame(texts, "doc_id long, text string")
     got = {r.doc_id: r.text for r in dedup_lines(df, min_lines=1, runs=True).collect()}
     assert got == {**dict(texts), 2: "c\nd", 4: ""}
+
+
+@pytest.mark.parametrize("page,text", [
+    ("<html><head><meta charset=utf-8><title>T</title><body><article><p>kept</p></article></body></html>", "kept"),
+    ("<head><title>T</title><script>'<p></head>'</script><style>p{}</style><article>kept</article>", "kept"),
+    ("<head><title>T</title><link rel=x><div>kept</div>", "kept"),
+    ("<head><title>T</title>words alone", "words alone"),
+    ("<head>stray<title>T</title><noscript>n</noscript></head><body><p>kept</p>", "kept"),
+    ("<HEAD><TITLE>T</TITLE></HEAD><BODY><P>kept", "kept"),
+    ("<header>H</header><article>kept</article>", "kept"),
+    ("<article>let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be</article>", "let x=1 be"),
+    ("<article>see <object data=a.pdf><param name=n>the paper</object> here</article>", "see the paper here"),
+    ("<article>a <svg><title/><style/><text>label</text></svg> b</article>", "a label b"),
+    ("<article>a <svg><title>no</title><style>no</style><path d='M0'/></svg> b</article>", "a b"),
+    ("<article>open <math><mi>y</mi> and more", "open y and more"),
+])
+def test_head_left_open_and_embedded_text(page, text):
+    assert main_text(page) == text

@@ -25,7 +25,9 @@ HEAVY = 86
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|iframe|svg|math|textarea|select|object|title|head)\b[^>]*+>.*?(?:</\1\s*+>|\Z)"
+    r"|<(script|noscript|template|iframe|textarea|select)\b[^>]*+>.*?(?:</\1\s*+>|\Z)"
+    # In drawings these may close themselves.
+    r"|<(style|title)\b[^>]*+(?<!/)>.*?(?:</\2\s*+>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)/?>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^<>]*+)>"
     r"|<[!?/][^>]*+(?:>|\Z)"
@@ -36,6 +38,8 @@ _BLOCK = frozenset("address article aside blockquote body br button caption cent
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BOILERPLATE = frozenset("nav header footer aside form button dialog menu fieldset".split())
 _CONTAINER = frozenset("article main".split())
+#: A page's head may be left open: any other element ends it.
+_HEAD = frozenset("base basefont bgsound head link meta noframes style title".split())
 #: Elements whose class, id or role can make them boilerplate.
 _NAMED = frozenset("div section ul ol dl p span table td aside header footer nav form article a h1 h2 h3 h4 h5 h6 li figure".split())
 _NAME = re.compile(r"\b(?:class|id|role)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))", re.I)
@@ -74,7 +78,7 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
     linked = links = depth = articles = 0
     skip, closing = "", 0  # the open boilerplate element and how many of its name are open in it
     skip_comments = False
-    at, found = 0, False
+    at, found, in_head = 0, False, False
 
     def piece(a: int, b: int) -> str:
         s = page[a:b]
@@ -97,12 +101,26 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
             if links:
                 linked += len(s.strip())
         at = b
-        name = m[3] or m[6]
+        name = m[4] or m[7]
         if name is None:
-            if m[1] and m[1].lower() not in ("script", "style"):
+            raw = (m[1] or m[2] or "script").lower()
+            if in_head and raw in ("iframe", "textarea", "select"):
+                in_head = False
+            if raw not in ("script", "style") and not in_head:
                 end_line()
             continue
-        name, is_end, attributes = name.lower(), bool(m[2] or m[5]), m[4] or m[7] or ""
+        name, is_end, attributes = name.lower(), bool(m[3] or m[6]), m[5] or m[8] or ""
+        if name == "head" and not skip:
+            if not is_end:
+                end_line()
+            elif in_head:
+                text.clear()  # what stands in a closed head isn't shown
+                linked = 0
+            in_head = not is_end
+            continue
+        if in_head and name not in _HEAD:
+            in_head = False
+            end_line()
         if skip:
             if skip in ("p", "li") and not is_end and (name == skip or skip == "p" and name in _BLOCK and name not in ("br", "button", "option")):
                 skip = ""  # the next paragraph or block ends an open one
