@@ -386,10 +386,10 @@ _K = 20
 _CAND = [o.SPLITS, o.evaluation(), o.train(), o.ITEMS, o.POPULAR, "own_seen AS (SELECT DISTINCT user_id, item_id FROM train)", "pop_scores AS (SELECT user_id, item_id, score FROM pop CROSS JOIN pop_score)", o.top("pop_scores", _K, "cand", "own_seen")]
 
 
-def _candidates(spark, d):
+def _candidates(spark, d, k=_K):
     data = Data(spark, d)
     e = data.eval()
-    top = mo.popular_top_k(data.popular(), e.population, data.train().select("user_id", "item_id"), _K)
+    top = mo.popular_top_k(data.popular(), e.population, data.train().select("user_id", "item_id"), k)
     return data, e, top.select("user_id", "item_id", F.col("score").alias("retriever_score"), (F.col("rank") - 1).alias("retriever_rank"))
 
 
@@ -398,8 +398,8 @@ def _context(data: Data) -> rk.Context:
 
 
 @query(q(*_CAND, select="SELECT user_id, item_id, score AS retriever_score, rank - 1 AS retriever_rank FROM cand"))
-def candidates(spark, d):
-    return _candidates(spark, d)[2]
+def candidates(spark, d, k=_K):
+    return _candidates(spark, d, k)[2]
 
 
 _STATS = """SELECT user_id, item_id, score AS retriever_score, rank - 1 AS retriever_rank, round(ln(1 + i.n), 9) AS item_log_n, round(ln(1 + i.p), 9) AS item_log_pos, i.m AS item_mean,
@@ -409,8 +409,8 @@ LEFT JOIN (SELECT user_id, count(*) AS n, count(*) FILTER (rating >= 4) AS p, av
 
 
 @query(q(*_CAND, select=_STATS))
-def rank_features_stats(spark, d):
-    data, _, cands = _candidates(spark, d)
+def rank_features_stats(spark, d, k=_K):
+    data, _, cands = _candidates(spark, d, k)
     rounded = ["item_log_n", "item_log_pos", "item_days_since_last", "item_age_days", "user_log_n", "user_log_pos"]
     return rk.statistics_features(cands, data.train()).withColumns({c: F.round(c, 9) for c in rounded})
 
@@ -418,8 +418,8 @@ def rank_features_stats(spark, d):
 @query(q(*_CAND, select="""SELECT user_id, item_id, round(coalesce(sum(share), 0), 6) AS genre_overlap, round(coalesce(max(share), 0), 6) AS genre_max
 FROM cand LEFT JOIN item_genres USING (item_id) LEFT JOIN (SELECT user_id, genre, count(*) / any_value(n) AS share FROM liked JOIN item_genres USING (item_id)
 JOIN (SELECT user_id, count(*) AS n FROM liked GROUP BY user_id) USING (user_id) GROUP BY user_id, genre) USING (user_id, genre) GROUP BY user_id, item_id"""))
-def genre_overlap(spark, d):
-    data, _, cands = _candidates(spark, d)
+def genre_overlap(spark, d, k=_K):
+    data, _, cands = _candidates(spark, d, k)
     out = rk.genre_features(cands, data.train(), data.items)
     return out.select("user_id", "item_id", F.round("genre_overlap", 6).alias("genre_overlap"), F.round("genre_max", 6).alias("genre_max"))
 
@@ -434,8 +434,8 @@ def _sim(history: str, name: str) -> str:
     "recent AS (SELECT user_id, item_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, item_id DESC) AS r FROM liked) WHERE r <= 10)", _sim("liked", "sa"), _sim("recent", "sr"),
     select="""SELECT user_id, item_id, round(sa.s, 6) AS content_sim_all, round(sr.s, 6) AS content_sim_recent, (item_id IN (SELECT item_id FROM unit))::INT AS has_content
 FROM cand LEFT JOIN sa USING (user_id, item_id) LEFT JOIN sr USING (user_id, item_id)"""))
-def genome_similarity(spark, d):
-    data, _, cands = _candidates(spark, d)
+def genome_similarity(spark, d, k=_K):
+    data, _, cands = _candidates(spark, d, k)
     out = rk.content_features(cands, _context(data))
     return out.select("user_id", "item_id", F.round("content_sim_all", 6).alias("content_sim_all"), F.round("content_sim_recent", 6).alias("content_sim_recent"), "has_content")
 
@@ -444,8 +444,8 @@ def genome_similarity(spark, d):
 SELECT p.user_id, p.item_id, round(ln(1 + count(r.ts)), 9) AS pit_item_log_n, round(ln(1 + count(*) FILTER (r.rating >= 4)), 9) AS pit_item_log_pos, avg(r.rating) AS pit_item_mean,
 round((any_value(cutoff) - max(r.ts)) / 86400.0::DOUBLE, 9) AS pit_days_since_last, round((any_value(cutoff) - min(r.ts)) / 86400.0::DOUBLE, 9) AS pit_age_days
 FROM probe p LEFT JOIN ratings r ON r.item_id = p.item_id AND r.ts < p.cutoff GROUP BY p.user_id, p.item_id"""))
-def pit_features(spark, d):
-    data, _, cands = _candidates(spark, d)
+def pit_features(spark, d, k=_K):
+    data, _, cands = _candidates(spark, d, k)
     probes = cands.select("user_id", "item_id").join(rk.last_train_ts(data.train()), "user_id")
     out = rk.point_in_time(probes, data.ratings)
     return out.withColumns({c: F.round(c, 9) for c in ("pit_item_log_n", "pit_item_log_pos", "pit_days_since_last", "pit_age_days")})
@@ -453,20 +453,30 @@ def pit_features(spark, d):
 
 @query(q(*_CAND, "lab AS (SELECT user_id, item_id, rank, (r.item_id IS NOT NULL)::INT AS label FROM cand LEFT JOIN (SELECT user_id AS u, item_id FROM relevant) r ON r.u = user_id AND r.item_id = cand.item_id)".replace("SELECT user_id, item_id, rank", "SELECT cand.user_id, cand.item_id, rank"),
     select="SELECT user_id, item_id, rank - 1 AS retriever_rank, label FROM (SELECT *, max(label) OVER (PARTITION BY user_id) AS m FROM lab) WHERE m = 1"))
-def labelled_rows(spark, d):
-    _, e, cands = _candidates(spark, d)
+def labelled_rows(spark, d, k=_K):
+    _, e, cands = _candidates(spark, d, k)
     return rk.labelled(cands, e.relevant).select("user_id", "item_id", "retriever_rank", "label")
 
 
 @query(q(*_CAND, f"pred AS (SELECT user_id, item_id, rank, score, {o.H('1', 'user_id', 'item_id')} / 4294967296 AS p FROM cand)",
     select="SELECT user_id, item_id, round(CASE WHEN rank <= 10 THEN p - min(p) FILTER (rank <= 10) OVER (PARTITION BY user_id) + max(score) OVER (PARTITION BY user_id) + 1 ELSE score END, 9) AS score FROM pred"))
-def score_adapter(spark, d):
-    _, _, cands = _candidates(spark, d)
+def score_adapter(spark, d, k=_K):
+    _, _, cands = _candidates(spark, d, k)
     predictions = ev.random_scores(cands.where("retriever_rank < 10"), 1)
     base = cands.select("user_id", "item_id", F.col("retriever_score").alias("score"))
     return rk.adapt_scores(cands, predictions, base).withColumn("score", F.round("score", 9))
 
 
+def _whole(name: str) -> None:
+    """Registers a query's like with the operators' own number of candidates."""
+    f, cut, whole = QUERIES[name], *(o.top("pop_scores", k, "cand", "own_seen") for k in (_K, rk.CANDIDATES))
+    query(ORACLES[name].replace(cut, whole), f"{name}_whole")(lambda spark, d: f(spark, d, rk.CANDIDATES))
+
+
+for _name in ("candidates", "rank_features_stats", "genre_overlap", "genome_similarity", "pit_features", "labelled_rows", "score_adapter"):
+    _whole(_name)
+
+
 # ---- statistics, serving, publishing
 
 _TEST = [o.SPLITS, o.evaluation("test"), o.train(), o.POPULAR, "pop_scores AS (SELECT user_id, item_id, score FROM pop CROSS JOIN pop_score)", o.top("pop_scores"), o.user_metrics()]
@@ -505,6 +515,11 @@ def poisson_bootstrap_ci(spark, d):
     return st.bootstrap(st.paired(*_runs(spark, d), "ndcg"), n=200)
 
 
+@query(ORACLES["poisson_bootstrap_ci"].replace("range(1, 201)", f"range(1, {st.REPLICATES + 1})"))
+def poisson_bootstrap_ci_whole(spark, d):
+    return st.bootstrap(st.paired(*_runs(spark, d), "ndcg"))
+
+
 _SEEDS = "runs AS (SELECT 'hash' AS model, seed, avg(v) AS value FROM (SELECT seed, " + o.H("seed", "user_id") + " / 4294967296 AS v FROM pop, (SELECT unnest([42, 43, 44]) AS seed)) GROUP BY seed)"
 
 
@@ -583,13 +598,22 @@ def benchmark_input(spark, d):
     return whole_users(views.ratings(spark, d), 1000)
 
 
+@query(ORACLES["benchmark_input"].replace("before < 1000", "before < (SELECT count(*) // 5 FROM ratings)"))
+def benchmark_input_whole(spark, d):
+    """A fifth of the ratings, as 5M are of 25M."""
+    from .bench import whole_users
+
+    ratings = views.ratings(spark, d)
+    return whole_users(ratings, ratings.count() // 5)
+
+
 @query()
 def two_tower_topk(spark, d):
     from .retriever import TwoTower
 
     data = Data(spark, d)
     e = data.eval()
-    model = TwoTower(dim=16, epochs=2).fit(_pairs(spark, d), seed=42)
+    model = TwoTower().fit(_pairs(spark, d), seed=42)
     return model.top_k(data.train(), e.population, e.seen).select("user_id", "item_id", "rank")
 
 
@@ -597,7 +621,7 @@ def two_tower_topk(spark, d):
 def lambdamart_scores(spark, d):
     from .ranker import LambdaMart
 
-    data, e, cands = _candidates(spark, d)
+    data, e, cands = _candidates(spark, d, rk.CANDIDATES)
     rows = rk.labelled(rk.genre_features(rk.statistics_features(cands, data.train()), data.train(), data.items), e.relevant)
     names = ["retriever_score", "item_log_n", "item_log_pos", "item_mean", "user_log_n", "user_log_pos", "user_mean", "genre_overlap", "genre_max"]
-    return LambdaMart(names, rounds=3).fit(rows).transform(rows).select("user_id", "item_id", "score")
+    return LambdaMart(names).fit(rows).transform(rows).select("user_id", "item_id", "score")
