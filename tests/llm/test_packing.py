@@ -79,3 +79,9 @@ def test_ids_equal_the_tokenizers_own(documents, reference):
     texts = [r.text for r in documents.collect()] + ["<|endoftext|>", "a<|endoftext|> b <|endoftext", "  \n\n  x\t", "it's we'll 'S 12345 \U0001f600́ é", "", " ", "\x00\x01", "  　 a"]
     for t in texts:
         assert [*encode(t), END_ID] == reference(t).tolist(), t[:80]
+
+
+def test_long_runs_are_packed_beside_normal_rows(spark, reference):
+    texts = [(1, " " * 2_000_000), (2, "\n" * 1_000_000), (3, "plain words"), (4, "a" * 300_000), (5, "x\n\n" + "\t" * 100_000 + "y"), (6, None)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    verify(pack_documents(df, PATH, keep_ids=True).collect(), texts, reference, 2048)

@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder (single-machine tests).
+#: Used only on a single machine whose session names no shared folder (tests).
 LOCAL_SCRATCH = "file:///tmp/checkpoints/tidemark"
 
 
@@ -18,19 +18,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH
+    """A new path in the shared folder: the session's spark.checkpoint.dir, or else the context's
+    checkpoint folder. A cluster without either is refused, as its machines share no local folder."""
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not root:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
+        root = LOCAL_SCRATCH
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def _at(spark: SparkSession, path: str):
+    """The path and its file system."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def materialize(df: DataFrame, label: str, files: int | None = None) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back; at most `files` files, for a
     table that is known to be small.
 
     This cuts the lineage: what is read later survives the loss of any executor, and a table
-    used twice is computed once. Shuffle files of the finished job are then released.
+    used twice is computed once. Shuffle files of the finished job are then released. Tables that
+    a result is read from can't be discarded before it is; those go when the driver ends.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
+    where, files_at = _at(spark, path)
+    files_at.deleteOnExit(where)
     (df.coalesce(files) if files else df).write.option("compression", "zstd").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._tidemark_path = path
@@ -58,9 +74,9 @@ def release(spark: SparkSession) -> None:
 def discard(*frames: DataFrame) -> None:
     """Delete materialized tables that no later plan reads."""
     for df in frames:
-        spark, path = df.sparkSession, df._tidemark_path
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        where, files_at = _at(df.sparkSession, df._tidemark_path)
+        files_at.delete(where, True)
+        files_at.cancelDeleteOnExit(where)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:

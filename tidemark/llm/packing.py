@@ -45,7 +45,7 @@ class Packer:
     def emit(self, pieces: list, leftover: bool = False) -> None:
         at = 0
         for doc_id, start, ids, total in pieces:
-            raw = ids.astype("<u4").tobytes()
+            raw = ids.astype("<u4", copy=False).tobytes()
             self.rows.append((doc_id, start, len(ids), zlib.crc32(raw), total, self.next, at, leftover, raw if leftover or self.keep_ids else None))
             at += len(ids)
         self.next += 1
@@ -89,33 +89,17 @@ _encoders: dict[str, object] = {}
 
 
 def encoder(path: str):
-    """text -> ids of the byte-level BPE in the tokenizer file at `path`.
+    """text -> ids of the tokenizer file at `path`, without special tokens added.
 
-    The file's merges are run by a second library over the same vocabulary, which gives the
-    same ids several times faster (tests compare the two). The file's special tokens keep
-    their ids where their strings occur in a text.
+    The file's special tokens keep their ids where their strings occur in a text.
     """
     if path not in _encoders:
-        import json
-
-        import tiktoken
-
-        with open(path, encoding="utf-8") as file:
-            model = json.load(file)
-        # The printable stand-ins that byte-level vocabularies use for the 256 bytes.
-        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-        stand_in = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
-        special = {x["content"]: x["id"] for x in model["added_tokens"]}
-        ranks = {bytes(stand_in[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
-        pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        tok = tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
-
-        def encode(text: str) -> list[int]:
-            if any(s in text for s in special):
-                return tok.encode(text, allowed_special="all")
-            return tok.encode_ordinary(text)
-
-        _encoders[path] = encode
+        from tokenizers import Tokenizer
+
+        tok = Tokenizer.from_file(path)
+        tok.no_truncation()
+        tok.no_padding()
+        _encoders[path] = lambda text: tok.encode(text, add_special_tokens=False).ids
     return _encoders[path]
 
 
@@ -137,8 +121,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW, open_w
         packer = Packer(window, open_windows, TaskContext.get().partitionId() << 32, keep_ids)
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.array([*encode(text.as_py() or ""), END_ID], np.uint32)
-                packer.add(doc_id, 0, ids, len(ids))
+                found = encode(text.as_py() or "")
+                found.append(END_ID)
+                packer.add(doc_id, 0, np.array(found, "<u4"), len(found))
                 if len(packer.rows) >= 4096:
                     yield packer.take()
         packer.close(leftover=True)
@@ -146,7 +131,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW, open_w
 
     packed = materialize(docs.select("doc_id", "text").mapInArrow(pack, PIECES), "packed")
     whole, left = packed.where("not leftover"), packed.where("leftover")
-    # Rounds: as many groups as hold MERGE_GROUP windows each, until one group is left.
+    # Rounds: as many groups as hold MERGE_GROUP windows each, until one group is left. A group
+    # leaves open_windows at most (half of MERGE_GROUP if that is less), so their number shrinks.
     done, tables, level = [whole], [], 1
     while True:
         windows = left.select("sequence_id").distinct().count()
@@ -154,7 +140,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW, open_w
         last = groups == 1
 
         def merge(batches: Iterator[pa.RecordBatch], base: int = level << 56, last: bool = last) -> Iterator[pa.RecordBatch]:
-            packer = Packer(window, 1 if last else open_windows, base + (TaskContext.get().partitionId() << 32), keep_ids)
+            packer = Packer(window, 1 if last else min(open_windows, max(1, MERGE_GROUP // 2)), base + (TaskContext.get().partitionId() << 32), keep_ids)
             for batch in batches:
                 for row in batch.to_pylist():
                     packer.add(row["doc_id"], row["start"], np.frombuffer(row["ids"], "<u4"), row["doc_tokens"])
@@ -171,8 +157,6 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW, open_w
         if last:
             break
         left, level = merged.where("leftover"), level + 1
-        if level > 100:
-            raise RuntimeError("leftover windows do not shrink")
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
