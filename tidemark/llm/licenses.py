@@ -4,7 +4,7 @@ Templates are licence notices as word sequences. Every document's rolling word k
 joined to the templates' positions. A hit votes for the diagonal (document position minus
 template position) of its template; a verbatim copy puts all its votes on one diagonal, an
 edited one on neighbouring ones, which are merged. A span is verified by the share of the
-template's words that its votes, each confirmed word by word, cover in order.
+template's words that its votes, each confirmed word by word, cover on these diagonals.
 
 Base phrases are templates of their own that must be covered whole, on one diagonal.
 
@@ -65,6 +65,8 @@ BASE_GRAM, NOTICE_GRAM = 2, 4
 NEAR = 4
 #: Share of a notice's words that a span must cover.
 COVER = 0.8
+#: A larger template table is joined by shuffle.
+BROADCAST_ROWS = 100_000
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -81,12 +83,11 @@ def template_rows(base: dict[str, str] = BASE, notices: dict[str, list[str]] = N
 
 
 def templates(spark: SparkSession, rows: list[tuple]) -> DataFrame:
-    """The template table: a constant, whose few hundred rows bound its size."""
-    if len(rows) > 100_000:
-        raise ValueError("too many template positions to broadcast")
+    """The template table: a constant, broadcast up to BROADCAST_ROWS rows of one gram each."""
     df = spark.createDataFrame(rows, "gram string, template int, label string, is_base boolean, n_template int, at int")
     # One more row meets one more gram of each document, so that none without hits is lost.
-    return df.withColumn("hash", F.xxhash64("gram")).unionByName(spark.range(1).select(F.lit(_DOCUMENT).alias("hash")), allowMissingColumns=True)
+    df = df.withColumn("hash", F.xxhash64("gram")).unionByName(spark.range(1).select(F.lit(_DOCUMENT).alias("hash")), allowMissingColumns=True)
+    return F.broadcast(df) if len(rows) <= BROADCAST_ROWS else df
 
 
 _DOCUMENT = 0
@@ -105,7 +106,7 @@ def license_votes(docs: DataFrame, rows: list[tuple]) -> DataFrame:
     n_base = F.greatest(F.size("words") - (BASE_GRAM - 1), F.lit(0))
     # Outer, for no other reason than that an inner one has its rows filtered by size(grams) first;
     # that filter would be pushed below the words and extract them anew for every gram.
-    hits = df.select("doc_id", "key", "words", F.posexplode_outer("grams").alias("i", "hash")).join(F.broadcast(templates(spark, rows)), "hash")
+    hits = df.select("doc_id", "key", "words", F.posexplode_outer("grams").alias("i", "hash")).join(templates(spark, rows), "hash")
     place = F.when(F.col("i") > n_base, F.col("i") - 1 - n_base).otherwise(F.col("i") - 1)
     hits = hits.withColumn("place", place).withColumn("k", F.when(F.col("is_base"), BASE_GRAM).otherwise(NOTICE_GRAM))
     # The hash of a gram brought it here; its words decide. The document's own row has place -1.
@@ -137,20 +138,18 @@ def scan_licenses(docs: DataFrame, base: dict[str, str] = BASE, notices: dict[st
     ordered = F.array_sort(F.collect_list(F.struct("diagonal", "ats")))
     merged = diagonals.groupBy(*keys, "template", "label", "is_base", "n_template").agg(ordered.alias("ds"), F.max("rows").alias("rows"))
     k = F.when(F.col("is_base"), BASE_GRAM).otherwise(NOTICE_GRAM)
-    start = F.array().cast("array<struct<last:int,ats:array<int>>>")
+    covered = lambda ats: F.size(F.array_distinct(F.flatten(F.transform(ats, lambda a: F.sequence(a, a + k - 1))))) / F.col("n_template")
+    # The open span and the best share so far, never a list of spans: the work is linear in the hits.
+    start = F.struct(F.lit(None).cast("int").alias("last"), F.array().cast("array<int>").alias("ats"), F.lit(0.0).alias("best"))
 
-    def step(spans: Column, d: Column) -> Column:
-        last = F.element_at(spans, -1)
-        near = (F.size(spans) > 0) & ~F.col("is_base") & (d["diagonal"] - F.get(spans, F.size(spans) - 1)["last"] <= NEAR)
-        joined = F.struct(d["diagonal"].alias("last"), F.array_union(last["ats"], d["ats"]).alias("ats"))
-        alone = F.struct(d["diagonal"].alias("last"), d["ats"].alias("ats"))
-        return F.when(near, F.concat(F.slice(spans, F.lit(1), F.greatest(F.size(spans) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(spans, F.array(alone)))
+    def step(open_span: Column, d: Column) -> Column:
+        near = F.coalesce(d["diagonal"] - open_span["last"] <= NEAR, F.lit(False))
+        joined = F.struct(d["diagonal"].alias("last"), F.array_union(open_span["ats"], d["ats"]).alias("ats"), open_span["best"].alias("best"))
+        alone = F.struct(d["diagonal"].alias("last"), d["ats"].alias("ats"), F.greatest(open_span["best"], covered(open_span["ats"])).alias("best"))
+        return F.when(near, joined).otherwise(alone)
 
-    spans = F.when(F.col("template").isNotNull(), F.aggregate("ds", start, step))
-    merged = merged.withColumn("spans", spans)
-    covered = lambda ats: F.size(F.array_distinct(F.flatten(F.transform(ats, lambda a: F.sequence(a, a + k - 1))))) / F.col("n_template")
-    merged = merged.withColumn("shares", F.transform("spans", lambda s: covered(s["ats"])))
-    merged = merged.withColumn("share", F.array_max("shares"))
+    share = F.aggregate("ds", start, step, lambda x: F.greatest(x["best"], covered(x["ats"])))
+    merged = merged.withColumn("share", F.when(F.col("template").isNotNull() & ~F.col("is_base"), share))
     whole = F.transform(F.filter("ds", lambda d: F.size(d["ats"]) == F.col("n_template") - (BASE_GRAM - 1)), lambda d: d["diagonal"])
     merged = merged.withColumn("places", F.when(F.col("is_base"), whole))
     is_base, found = F.col("is_base"), F.size("places") > 0
