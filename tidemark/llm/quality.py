@@ -32,9 +32,9 @@ PRIOR = (1.0, 1e6)
 BROADCAST_ROWS = 100_000
 
 _WORD = r"[^\x20\x09-\x0D]+"
-#: A window's place takes the low 26 bits beside the high bits of its hash: a text has at most
-#: 2^31 bytes, and 2^26 words of it are 2^27 bytes or more; beyond that see text_counts().
-_PLACE = (1 << 26) - 1
+#: A window's place takes the low 31 bits beside the high bits of its hash: no text has 2^31 bytes.
+_PLACE_BITS = 31
+_PLACE = (1 << _PLACE_BITS) - 1
 
 
 def _repeated(df: DataFrame) -> DataFrame:
@@ -46,7 +46,7 @@ def _repeated(df: DataFrame) -> DataFrame:
     df = df.withColumn("__ordered", F.sort_array(F.transform("__windows", lambda h, i: h.bitwiseAND(F.lit(~_PLACE)).bitwiseOR(i.cast("long")))))
 
     def near(x: Column, i: Column) -> Column:
-        same = lambda j: F.shiftright(F.get("__ordered", j), 26) == F.shiftright(x, 26)
+        same = lambda j: F.shiftright(F.get("__ordered", j), _PLACE_BITS) == F.shiftright(x, _PLACE_BITS)
         return F.coalesce(same(i + 1), F.lit(False)) | (i > 0) & F.coalesce(same(F.greatest(i - 1, F.lit(0))), F.lit(False))
 
     df = df.withColumn("__places", F.transform(F.filter("__ordered", near), lambda x: x.bitwiseAND(F.lit(_PLACE)).cast("int")))
@@ -62,15 +62,14 @@ def text_counts(docs: DataFrame) -> DataFrame:
     """docs (a column text, any others) with the columns n_words, word_chars, n_symbols, n_lines
     (with a word), n_dup_lines and n_repeat_words (long) added.
 
-    A null text counts as empty: all zero. Texts of any length are counted whole, up to 2^26
-    words (beyond, an error is raised rather than a wrong count returned). Repeated rows get
+    A null text counts as empty: all zero. Texts of any length are counted whole. Repeated rows get
     equal counts. An empty table gives an empty one. Columns of docs with the names of these
     counts are replaced.
     """
     df = docs.withColumn("__words", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(_WORD), F.lit(0)))
     df = df.withColumn("__lines", F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     df = df.withColumns({
-        "n_words": F.when(F.size("__words") <= _PLACE, F.size("__words").cast("long")).otherwise(F.raise_error(F.lit("a text has more than 2^26 words")).cast("long")),
+        "n_words": F.size("__words").cast("long"),
         "word_chars": F.length(F.array_join("__words", "")).cast("long"),
         "n_symbols": F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^#*$%&|<>]+", "")).cast("long"),
         "n_lines": F.size("__lines").cast("long"),
