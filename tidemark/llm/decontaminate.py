@@ -8,8 +8,10 @@ largest n of the partition, makes sure that a contained item shows at least one
 among the document's shingles. That finds candidates (no false negatives); exact containment on
 the shingles' own words then confirms them.
 
-Items are taken in blocks of bounded size, each of which travels to all tasks; documents are
-streamed past each block, are never shuffled, and each is looked at whole.
+Items are taken in blocks of bounded size, each of which travels to all tasks. A pass over the
+documents takes PASS_BLOCKS of them, over words that are hashed once; more items take more
+passes, so that what a task holds is bounded. Documents are never shuffled, and each is looked
+at whole.
 """
 
 from __future__ import annotations
@@ -23,13 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches
-from .textscan import PUNCT, U, Column, chunks, grams, inside_rows
+from .textscan import PUNCT, U, Column, Words, chunks, grams, inside_rows
 
 SHINGLE = 5
 PERCENT = 80
 #: Items in a block: at most this many, of at most this much text.
 BLOCK_ITEMS = 20_000
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
+#: Blocks that a task holds in one pass over the documents.
+PASS_BLOCKS = 8
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = {c: c + 32 for c in range(0x41, 0x5B)}
@@ -49,34 +53,26 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], percent: int, k: int) -> None:
         self.percent = percent
-        self.items: dict[int, list[tuple[int, set[tuple[str, ...]]]]] = {}
-        widths: dict[int, list[tuple[int, list[tuple[str, ...]]]]] = {}
+        #: By width: (item_id, text, sorted hashes of all its shingles, number of shingles).
+        self.items: dict[int, list[tuple[int, str, np.ndarray, int]]] = {}
         for item_id, text in items:
             words = words_of(text)
             if words:
                 width = min(k, len(words))  # an item of fewer words is one shingle
-                widths.setdefault(width, []).append((item_id, _shingles(words, width)))
+                shingles = _shingles(words, width)
+                self.items.setdefault(width, []).append((item_id, text, np.sort(_hash(shingles, width)), len(shingles)))
         self.sketches: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for width, group in widths.items():
-            hashes, owners = [], []
-            for i, (_, shingles) in enumerate(group):
-                partition = 1 << (len(shingles) - 1).bit_length()  # sizes up to the next power of two
-                keep = min(len(shingles), (100 - percent) * partition // 100 + 1)
-                own = np.sort(_hash(shingles, width))[:keep]
-                hashes.append(own)
-                owners.append(np.full(len(own), i))
-            flat, owner = np.concatenate(hashes), np.concatenate(owners)
+        for width, group in self.items.items():
+            keep = [min(n, (100 - percent) * (1 << (n - 1).bit_length()) // 100 + 1) for *_, n in group]  # sizes up to the next power of two
+            flat = np.concatenate([own[:m] for (_, _, own, _), m in zip(group, keep, strict=True)])
             order = np.argsort(flat, kind="stable")
-            self.sketches[width] = flat[order], owner[order]
-            self.items[width] = [(item_id, set(shingles)) for item_id, shingles in group]
+            self.sketches[width] = flat[order], np.repeat(np.arange(len(group)), keep)[order]
 
-    def search(self, column: Column, a: int, b: int) -> Iterator[tuple[int, int, int, int]]:
-        """(row, item_id, shared shingles, item's shingles) of what rows [a, b) contain."""
-        words = column.words(a, b, PUNCT, lower=True)
-        hashes = words.hashes()
+    def search(self, words: Words, shingles_of) -> Iterator[tuple[int, int, int, int]]:
+        """(row, item_id, shared shingles, item's shingles) of what the rows of words contain.
+        shingles_of gives the starts and hashes of their shingles of a width."""
         for width, (sketch, owner) in self.sketches.items():
-            starts = inside_rows(words, width)
-            shingles = grams(hashes, width)[starts]
+            starts, shingles = shingles_of(width)
             low = np.searchsorted(sketch, shingles, "left")
             hit = np.flatnonzero(sketch[np.minimum(low, len(sketch) - 1)] == shingles)
             if not len(hit):
@@ -84,15 +80,38 @@ class Index:
             low, high = low[hit], np.searchsorted(sketch, shingles[hit], "right")
             row = np.searchsorted(words.first, starts[hit], "right") - 1
             found = {(r, int(i)) for r, x, y in zip(row.tolist(), low.tolist(), high.tolist(), strict=True) for i in owner[x:y]}
-            own: dict[int, set[tuple[str, ...]]] = {}
             for r, i in sorted(found):
-                if r not in own:
-                    text = words.text(words.first[r], words.first[r + 1]).decode().split(" ")
-                    own[r] = set(_shingles(text, width))
-                item_id, shingles_of = self.items[width][i]
-                shared = len(shingles_of & own[r])
-                if 100 * shared >= self.percent * len(shingles_of):
-                    yield a + r, item_id, shared, len(shingles_of)
+                item_id, text, hashes, n = self.items[width][i]
+                # Only places whose hashes are the item's are read, once for each hash and word sequence.
+                x, y = np.searchsorted(starts, (words.first[r], words.first[r + 1]))
+                at = np.searchsorted(hashes, shingles[x:y])
+                alike = starts[x:y][hashes[np.minimum(at, len(hashes) - 1)] == shingles[x:y]]
+                own = {words.text(p, p + width) for p in alike.tolist()}
+                shared = sum(" ".join(s).encode() in own for s in _shingles(words_of(text), width))
+                if 100 * shared >= self.percent * n:
+                    yield r, item_id, shared, n
+
+
+class Search:
+    """The items of a pass, block by block."""
+
+    def __init__(self, blocks: list, percent: int, k: int) -> None:
+        self.indexes = [Index(b, percent, k) for b in blocks]
+
+    def __call__(self, column: Column, a: int, b: int) -> Iterator[tuple[int, int, int, int]]:
+        """As Index.search(), of rows [a, b) of a column."""
+        words = column.words(a, b, PUNCT, lower=True)
+        hashes, known = words.hashes(), {}
+
+        def shingles_of(width: int) -> tuple[np.ndarray, np.ndarray]:
+            if width not in known:
+                starts = inside_rows(words, width)
+                known[width] = starts, grams(hashes, width)[starts]
+            return known[width]
+
+        for index in self.indexes:
+            for row, *found in index.search(words, shingles_of):
+                yield a + row, *found
 
 
 def _hash(shingles: list[tuple[str, ...]], width: int) -> np.ndarray:
@@ -114,6 +133,18 @@ def blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield block
 
 
+def passes(items: DataFrame) -> Iterator[list]:
+    """Broadcasts of blocks(), as many at a time as one pass takes."""
+    context, held = items.sparkSession.sparkContext, []
+    for block in blocks(items):
+        held.append(context.broadcast(block))
+        if len(held) == PASS_BLOCKS:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
 _FOUND = "doc_id long, item_id long, n_shared long, n_item long"
 
 
@@ -131,15 +162,14 @@ def find_items(docs: DataFrame, items: DataFrame, percent: int = PERCENT, k: int
     small_batches(spark, 500)
     texts = docs.select(F.col("doc_id").cast("long"), "text")
     out = spark.createDataFrame([], _FOUND)
-    for n, block in enumerate(blocks(items)):
-        shared = spark.sparkContext.broadcast(block)
+    for n, held in enumerate(passes(items)):
 
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Index(shared.value, percent, k)
+        def search(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            of = Search([x.value for x in held], percent, k)
             for batch in batches:
                 column, found = Column.of(batch.column(1)), []
                 for a, b in chunks(column):
-                    found += index.search(column, a, b)
+                    found += of(column, a, b)
                 rows, item, n_shared, n_item = zip(*found, strict=True) if found else ((), (), (), ())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *[pa.array(x, pa.int64()) for x in (item, n_shared, n_item)]], names=["doc_id", "item_id", "n_shared", "n_item"])
 
@@ -158,15 +188,14 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT,
     # Plain names on the way through Python, whatever the columns are called.
     names, at = docs.columns, docs.columns.index("text")
     docs = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    for block in blocks(items):
-        shared = spark.sparkContext.broadcast(block)
+    for held in passes(items):
 
-        def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Index(shared.value, percent, k)
+        def keep(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            of = Search([x.value for x in held], percent, k)
             for batch in batches:
                 column, clean = Column.of(batch.column(at)), np.ones(batch.num_rows, bool)
                 for a, b in chunks(column):
-                    clean[[r for r, *_ in index.search(column, a, b)]] = False
+                    clean[[r for r, *_ in of(column, a, b)]] = False
                 yield batch.filter(pa.array(clean))
 
         docs = docs.mapInArrow(keep, docs.schema)
