@@ -18,6 +18,8 @@ import pyarrow as pa
 U = np.uint64
 _BASE, _INVERSE = U(0x9E3779B97F4A7C15), U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _GRAM = U(0xD6E8FEB86659FD93)
+#: Bytes whose words are hashed at once.
+BLOCK = 1 << 20
 
 #: Word definitions: which bytes separate words.
 WHITE = np.zeros(256, bool)
@@ -71,12 +73,20 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
-        n = len(self.data)
-        up, down = _powers.to(n + 1)
-        total = np.zeros(n + 1, U)
-        np.cumsum((self.data.astype(U) + U(1)) * up[:n], out=total[1:])
-        return mix((total[self.end] - total[self.start]) * down[self.start] + (self.end - self.start).astype(U) * _GRAM)
+        """A 64-bit hash of each word's bytes; worked out over runs of words of BLOCK bytes, so
+        that a very long row takes no more memory than a short one (a longer word is its own run)."""
+        out, a, n = np.empty(len(self.start), U), 0, len(self.start)
+        while a < n:
+            low = self.start[a]
+            b = max(a + 1, int(np.searchsorted(self.end, low + BLOCK, "right")))
+            start, end = self.start[a:b] - low, self.end[a:b] - low
+            size = int(end[-1])
+            up, down = _powers.to(size + 1)
+            total = np.zeros(size + 1, U)
+            np.cumsum((self.data[low : low + size].astype(U) + U(1)) * up[:size], out=total[1:])
+            out[a:b] = mix((total[end] - total[start]) * down[start] + (end - start).astype(U) * _GRAM)
+            a = b
+        return out
 
     def text(self, a: int, b: int) -> bytes:
         """Words a to b (exclusive), joined by one space."""
