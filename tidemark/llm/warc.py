@@ -2,8 +2,9 @@
 
 Records are ordered by id. Files hold FILE consecutive ids, and a record's place in its file is
 the range of offsets [offset, offset + length). A leaf is the hash of an id's records; a node is
-the hash of FAN consecutive children, an ordered range of offsets, up to one root for each file.
-A leaf's hash leaves its offset out: a lost record is one fault, though all after it move up.
+the hash of its children of FAN consecutive ids, in order, each with the range of offsets that it
+takes, counted from the node's start, up to one root for each file. Counted so, a lost record is
+one fault on one path, though all records after it move up.
 Two replicas are compared by their roots; only children of nodes that differ are looked at, level
 by level, down to the ids whose records differ.
 
@@ -16,9 +17,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
-FAN = 16
+FAN_BITS = 4
+FAN = 1 << FAN_BITS
 LEVELS = 3
 FILE = FAN**LEVELS
 
@@ -44,7 +46,7 @@ def leaves(records: DataFrame) -> DataFrame:
     # Sums of the digests' four words: equal for equal sets of records, whatever their order.
     summed = records.select("id", F.octet_length("record").cast("long").alias("length"), *[p.alias(f"p{i}") for i, p in enumerate(parts)])
     summed = summed.groupBy("id").agg(F.sum("length").alias("length"), F.count("*").alias("n_records"), *[F.sum(f"p{i}").alias(f"p{i}") for i in range(4)])
-    summed = summed.withColumn("file", F.floor(F.col("id") / F.lit(FILE)).cast("long"))
+    summed = summed.withColumn("file", _up("id", LEVELS))
     upto = F.sum("length").over(_window())
     summed = summed.withColumn("offset", (upto - F.col("length")).cast("long"))
     values = ["id", "length", "n_records", *[f"p{i}" for i in range(4)]]
@@ -56,15 +58,23 @@ def _window() -> WindowSpec:
     return Window.partitionBy("file").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
+def _up(node: str, levels: int) -> Column:
+    """The node so many levels above: whole division by FAN ** levels, exact for every long."""
+    return F.shiftright(node, FAN_BITS * levels)
+
+
 def nodes(leaf: DataFrame, level: int) -> DataFrame:
-    """file, node, hash: the nodes that span FAN ** level ids each."""
+    """file, node, length, hash: the nodes that span FAN ** level ids each."""
     if not level:
-        return leaf.select("file", F.col("id").alias("node"), "hash")
+        return leaf.select("file", F.col("id").alias("node"), "length", "hash")
     below = nodes(leaf, level - 1)
-    up = below.withColumn("up", F.floor(F.col("node") / F.lit(FAN)).cast("long"))
-    children = F.array_sort(F.collect_list(F.struct("node", "hash")))
-    joined = F.array_join(F.transform(children, lambda c: F.concat_ws(":", F.coalesce(c["node"].cast("string"), F.lit("")), c["hash"])), "|")
-    return up.groupBy("file", F.col("up").alias("node")).agg(F.sha2(joined, 256).alias("hash"))
+    children = F.array_sort(F.collect_list(F.struct("node", "length", "hash")))
+    up = below.groupBy("file", _up("node", 1).alias("up")).agg(children.alias("children"), F.sum("length").alias("length"))
+    # The offset of a child is the length of those before it: FAN of them at most.
+    before = lambda i: F.aggregate(F.slice("children", F.lit(1), i), F.lit(0).cast("long"), lambda a, c: a + c["length"])
+    line = lambda c, i: F.concat_ws(":", F.coalesce(c["node"].cast("string"), F.lit("")), before(i).cast("string"), c["length"].cast("string"), c["hash"])
+    joined = F.array_join(F.transform("children", line), "|")
+    return up.select("file", F.col("up").alias("node"), "length", F.sha2(joined, 256).alias("hash"))
 
 
 def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
@@ -79,10 +89,13 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
     suspects = None
     for level in range(LEVELS, -1, -1):
         x, y = (_within(leaf, suspects, level + 1) if suspects is not None else leaf for leaf in (a, b))
-        x, y = nodes(x, level), nodes(y, level)
+        x, y = nodes(x, level).drop("length"), nodes(y, level).drop("length")
         both = x.withColumnRenamed("hash", "x").join(y.select(F.col("file").alias("f"), F.col("node").alias("n"), F.col("hash").alias("y")), F.col("file").eqNullSafe(F.col("f")) & F.col("node").eqNullSafe(F.col("n")), "full_outer")
         differ = both.where(~F.col("x").eqNullSafe(F.col("y")))
-        suspects = materialize(differ.select(F.coalesce("file", "f").alias("file"), F.coalesce("node", "n").alias("node")), f"level-{level}")
+        lower = materialize(differ.select(F.coalesce("file", "f").alias("file"), F.coalesce("node", "n").alias("node")), f"level-{level}")
+        if suspects is not None:
+            discard(suspects)
+        suspects = lower
     x, y = _within(a, suspects, 0), _within(b, suspects, 0)
     y = y.select(*[F.col(c).alias(f"r_{c}") for c in y.columns])
     out = x.join(y, F.col("id").eqNullSafe(F.col("r_id")) & F.col("file").eqNullSafe(F.col("r_file")), "full_outer")
@@ -97,6 +110,6 @@ def _own(records: DataFrame) -> DataFrame:
 
 def _within(leaf: DataFrame, suspects: DataFrame, level: int) -> DataFrame:
     """The leaves below the suspect nodes of that level."""
-    node = F.floor(F.col("id") / F.lit(FAN**level)).cast("long")
+    node = _up("id", level)
     s = suspects.select(F.col("file").alias("s_file"), F.col("node").alias("s_node"))
     return leaf.join(s, F.col("file").eqNullSafe(F.col("s_file")) & node.eqNullSafe(F.col("s_node")), "left_semi")
