@@ -85,3 +85,13 @@ def test_long_runs_are_packed_beside_normal_rows(spark, reference):
     texts = [(1, " " * 2_000_000), (2, "\n" * 1_000_000), (3, "plain words"), (4, "a" * 300_000), (5, "x\n\n" + "\t" * 100_000 + "y"), (6, None)]
     df = spark.createDataFrame(texts, "doc_id long, text string")
     verify(pack_documents(df, PATH, keep_ids=True).collect(), texts, reference, 2048)
+
+
+def test_both_ways_give_the_same_ids(reference):
+    import random
+
+    rng, encode = random.Random(8), encoder(PATH)
+    parts = [" ", "\n", "\t", "\xa0", "\u2003", "\x1c", "\x85", "a", "Z", "é", "'s", "'LL", "12", "٣", "!", "_", "\U0001f600", "\u0301", "的", "<|endoftext|>", "<|end", "\x00"]
+    for _ in range(400):
+        text = "".join(rng.choice(parts) * rng.choice([1, 1, 2, 3, 50, 255, 256, 257, 1023, 1024]) for _ in range(rng.randint(1, 12)))
+        assert [*encode(text), END_ID] == reference(text).tolist()
