@@ -112,3 +112,44 @@ def test_a_large_group_of_copies_is_one_row_each(spark):
     df = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "the very same text of many words in all").otherwise(F.concat_ws(" ", *[F.concat(F.lit(f"w{i}x"), "id") for i in range(8)])).alias("text"))
     got = near_duplicates(df)
     assert got.where("component_id = 0").count() == 1000 and got.where("kept").count() == 2001
+
+
+@pytest.mark.parametrize("tile", [256, 8])
+def test_texts_that_share_a_doc_id(spark, monkeypatch, tile):
+    """Texts of one doc_id never stand for each other, and link their document's neighbours."""
+    monkeypatch.setattr(neardup, "TILE", tile)
+    p1, p2, x = (" ".join(f"{c}{i}" for i in range(60)) for c in "pqx")
+    rows = [(1, p1), (1, p2), (2, f"{p1} {x}"), (3, f"{p2} {x}")]
+    assert compare(spark.createDataFrame(rows, "doc_id long, text string")) == {1: 1, 2: 2, 3: 3}
+    rows = [(4, p1), (5, p1), (5, p2), (6, p2 + " end"), (7, None), (7, p2), (8, p1), (8, p1), (None, p2)]
+    assert compare(spark.createDataFrame(rows, "doc_id long, text string")) == {4: 4, 5: 4, 6: 4, 7: 4, 8: 4}
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for _ in range(90):
+        t = list(base)
+        for i in rng.sample(range(len(t)), rng.choice([0, 1, 2, 3, 4, 30])):
+            t[i] = f"e{rng.randint(0, 5)}"
+        rows.append((rng.randint(0, 60), " ".join(t) if rng.random() > 0.05 else None))
+    for percent in (85, 80):
+        compare(spark.createDataFrame(rows, "doc_id long, text string"), percent)
+
+
+def test_union_find():
+    rng = np.random.default_rng(5)
+    a, b = rng.integers(0, 300, 250), rng.integers(0, 300, 250)
+    forest = neardup.unite(a, b)
+    label = {int(i): int(i) for i in np.unique(np.concatenate([a, b]))}
+    for _ in range(300):
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            label[x] = label[y] = min(label[x], label[y])
+    assert {**{i: i for i in label}, **{y: x for x, y in forest.tolist()}} == label
+    assert len(neardup.unite(a[:0], b[:0])) == 0
+
+
+def test_long_sets_are_signed_in_parts(monkeypatch):
+    x = np.random.default_rng(2).integers(0, 1 << 63, 5000, dtype=np.uint64)
+    row = np.sort(np.random.default_rng(3).integers(0, 4, 5000))
+    whole = signatures(row, x, 4)
+    monkeypatch.setattr(neardup, "SIGNED", 37)
+    assert (signatures(row, x, 4) == whole).all()

@@ -4,15 +4,18 @@
    its signature's bands. A signature takes, for each shingle, a pseudo-random permutation of
    the signature's places; round j gives the shingle's j-th place a value in [j, j + 1), and each
    place keeps the least. A document leaves as soon as no later round can lower any place.
-2. Exact copies (equal digests) are stood for by the smallest id.
-3. Representatives that share a band meet in a bucket. A bucket tests its members against one
+2. Exact copies (equal digests) are one node, numbered when the nodes are written; everything
+   up to the components is about nodes. Nodes that share a doc_id are linked.
+3. Nodes that share a band meet in a bucket. A bucket tests its members against one
    pivot, the member that shares most (a group of edited copies meets at the original), never
    all pairs. Links are confirmed on full sets, and each test keeps the symmetric difference.
-4. Members of a pivot that aren't all linked with it may still be linked with each other. The
-   differences decide that exactly: two members differ where exactly one of them differs from
-   the pivot. This is done inside tasks over tiles of bounded size, which return a spanning
-   forest of the links they find and never a list of pairs. No link of a bucket is lost.
-5. Components of the links are found by label propagation with pointer jumping.
+4. Members that aren't linked with their pivot may still be linked with each other or with those
+   that are. The differences decide that exactly: two members differ where exactly one of them
+   differs from the pivot. This is done inside tasks over tiles of bounded size, which return a
+   spanning forest of the links they find and never a list of pairs. No link of a bucket is
+   lost; members that are linked with the pivot aren't compared with each other.
+5. Components: every task unites its links by union-find into a forest; the forests are united by
+   hooking and pointer jumping, which is union-find over a table.
 
 With BANDS x ROWS places, a pair at similarity 0.8 meets in no bucket with probability
 (1 - 0.8^5)^38 < 3e-7, at 0.85 < 3e-10.
@@ -35,12 +38,15 @@ from .textscan import Column, U, Words, chunks, grams, inside_rows, mix
 SHINGLE = 5
 BANDS, ROWS = 38, 5
 PLACES = BANDS * ROWS
-#: Members of a pivot that meet in a tile; larger groups are dealt over pairs of tiles.
+#: Members of a pivot in a tile; tiles meet in pairs.
 TILE = 256
+#: Links that a task unites at once.
+FOREST = 1_000_000
 #: Elements that more members share than this are counted as matrix columns.
 DENSE = 16
-#: Bytes of text handled at once (a shingle takes PLACES bytes).
+#: Bytes of text handled at once, and shingles signed at once (each takes PLACES bytes).
 CHUNK = 1 << 18
+SIGNED = 1 << 17
 
 
 def shingle_sets(words: Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -66,6 +72,14 @@ def shingle_sets(words: Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray
 def signatures(row: np.ndarray, shingle: np.ndarray, n_rows: int, places: int = PLACES) -> np.ndarray:
     """SuperMinHash signatures, n_rows x places of uint64: the round in the high half, a fraction in the low."""
     out = np.full((n_rows, places), np.iinfo(np.uint64).max, U)
+    for a in range(0, len(row), SIGNED):
+        _sign(row[a : a + SIGNED], shingle[a : a + SIGNED], out)
+    return out
+
+
+def _sign(row: np.ndarray, shingle: np.ndarray, out: np.ndarray) -> None:
+    """Lower the signatures of `out` by the shingles."""
+    places = out.shape[1]
     flat = out.reshape(-1)
     order = np.broadcast_to(np.arange(places, dtype=np.uint8), (len(row), places)).copy()
     base, x, at = row.astype(np.int64) * places, shingle, np.arange(len(row))
@@ -84,7 +98,6 @@ def signatures(row: np.ndarray, shingle: np.ndarray, n_rows: int, places: int =
             at = np.arange(len(base))
             if not len(base):
                 break
-    return out
 
 
 _SCAN = "doc_id long, n_shingles long, digest binary, bands array<long>"
@@ -103,17 +116,26 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i in range(ROWS):
                 bands = mix(bands * U(0xD6E8FEB86659FD93) + values[:, i::ROWS] + np.arange(BANDS, dtype=U))
             bands = bands.view(np.int64)
-            full = [hashlib.sha256(words.text(x, y)).digest() if y > x else None for x, y in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)]
+            full = _digests(words)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(full, pa.binary()), pa.array([x if y else None for x, y in zip(bands, full, strict=True)], pa.list_(pa.int64()))], schema=_SCANNED)
 
 
+def _digests(words: Words) -> list[bytes | None]:
+    """Of each row's word sequence; None without words."""
+    return [hashlib.sha256(words.text(x, y)).digest() if y > x else None for x, y in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)]
+
+
+_SETS = "doc_id long, digest binary, shingles binary"
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         column = Column.of(batch.column(1))
         for a, b in chunks(column):
-            row, shingle = shingle_sets(column.words(a, b, lower=True))
+            words = column.words(a, b, lower=True)
+            row, shingle = shingle_sets(words)
             cuts = np.searchsorted(row, np.arange(b - a + 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).cast(pa.int64()), pa.array([shingle[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], names=["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).cast(pa.int64()), pa.array(_digests(words), pa.binary()), pa.array([shingle[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], names=["doc_id", "digest", "shingles"])
 
 
 _TESTED = "pivot long, id long, n long, linked boolean, difference binary"
@@ -163,34 +185,68 @@ def _common(differences: list[np.ndarray]) -> np.ndarray:
 
 
 def _tile(percent: int):
-    """Members of one pivot (and pair of tiles) -> edges (a, b) that join what is linked."""
+    """Members of one pivot, of one part or of two -> edges (a, b) that join what is linked: within the
+    part if there is one, else across the two (other tasks have the pairs within either)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
-        ids, n, linked, tile = (pdf[c].to_numpy() for c in ("id", "n", "linked", "tile"))
+        ids, n, part = (pdf[c].to_numpy() for c in ("id", "n", "part"))
         differences = [np.frombuffer(x, U) for x in pdf["difference"]]
         e = np.array([len(d) for d in differences])
         apart = e[:, None] + e[None, :] - 2 * _common(differences).astype(np.int64)
         total = n[:, None] + n[None, :]
-        near = (100 * (total - apart) >= percent * (total + apart)) & ~(linked[:, None] & linked[None, :])
-        if tile.min() != tile.max():
-            near &= tile[:, None] != tile[None, :]  # other tasks have the pairs inside a tile
-        label = np.arange(len(ids))
-        while True:
-            lower = np.minimum(label, np.where(near, label[None, :], len(ids)).min(axis=1))
-            lower = np.minimum(lower, lower[lower])
-            if (lower == label).all():
-                break
-            label = lower
-        moved = np.flatnonzero(label != np.arange(len(ids)))
-        return pd.DataFrame({"a": ids[label[moved]], "b": ids[moved]})
+        near = 100 * (total - apart) >= percent * (total + apart)
+        if part.min() != part.max():
+            near &= part[:, None] != part[None, :]
+        a, b = np.nonzero(np.triu(near, 1))
+        return pd.DataFrame(unite(ids[a], ids[b]), columns=["a", "b"])
 
     return run
 
 
+def unite(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A forest of the links (a[i], b[i]): rows (smallest id of the tree, id), by union-find."""
+    ids, at = np.unique(np.concatenate([a, b]).astype(np.int64), return_inverse=True)
+    parent = list(range(len(ids)))
+    for x, y in zip(at[: len(a)].tolist(), at[len(a) :].tolist(), strict=True):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        while parent[y] != y:
+            parent[y] = y = parent[parent[y]]
+        if x < y:
+            parent[y] = x
+        else:
+            parent[x] = y
+    root = np.arange(len(ids))
+    for x in range(len(ids)):  # parents are smaller, so theirs are known
+        root[x] = root[parent[x]]
+    moved = np.flatnonzero(root != np.arange(len(ids)))
+    return np.stack([ids[root[moved]], ids[moved]], axis=1)
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of a task, FOREST at a time -> forests of them."""
+    held, n = [], 0
+
+    def out(held: list) -> pa.RecordBatch:
+        a, b = (np.concatenate([x[i] for x in held]) for i in (0, 1))
+        links = np.concatenate([unite(a, b), np.stack([a, b], axis=1)[a == b]])
+        return pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["a", "b"])
+
+    for batch in batches:
+        held.append([batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)])
+        n += batch.num_rows
+        if n >= FOREST:
+            yield out(held)
+            held, n = [], 0
+    if n:
+        yield out(held)
+
+
 def components(links: DataFrame, most: int | None = None) -> DataFrame:
     """(id, label) for each end of the links (a, b): label is the smallest id that it reaches.
     The links are written to `most` files at most."""
+    links = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).mapInArrow(_forest, "a long, b long")
     ends = F.explode(F.array(F.struct(F.col("a"), F.col("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")
     both = materialize(links.select(ends).select("e.a", "e.b"), "links", most)
     files = 1 + both.count() // 500_000  # rows of two numbers
@@ -226,38 +282,58 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     small_batches(spark, 500)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scanned = materialize(docs.mapInArrow(_scan, _SCAN), "scanned")
-    full = scanned.where("digest is not null and doc_id is not null")
-    reps = full.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     n_docs = scanned.count()
-    # A table of its own: a frequent digest can then be split where documents look their group up.
-    reps = materialize(reps, "representatives", files_for(spark, n_docs))
-    banded = full.join(reps.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi").select(F.col("doc_id").alias("id"), F.explode("bands").alias("bucket")).distinct()
+    full = scanned.where("digest is not null and doc_id is not null")
+    # A table of its own: nodes keep their numbers, and a frequent digest can be split where
+    # documents look their node up. The bands are the digest's, whichever copy they come from.
+    nodes = full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id())
+    nodes = materialize(nodes, "nodes", files_for(spark, n_docs))
+    banded = nodes.select(F.col("node").alias("id"), F.explode("bands").alias("bucket"))
     sizes = banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = materialize(banded.join(sizes, "bucket"), "members", files_for(spark, BANDS * n_docs))
     weights = members.groupBy("id").agg(F.sum("size").alias("weight"))
     weighted = members.join(weights, "id")
 
     # Few documents meet others: where their ids are few enough to travel, no text is shuffled.
-    wanted = members.select(F.col("id").alias("doc_id")).distinct()
-    texts = docs.join(small_side(wanted), "doc_id", "left_semi")
-    sets = materialize(texts.mapInArrow(_sets, "id long, shingles binary"), "sets", files_for(spark, n_docs, 20_000))
+    wanted = materialize(nodes.join(members.select("id").distinct(), F.col("node") == F.col("id")).select("id", F.col("rep").alias("doc_id"), "digest"), "wanted", files_for(spark, n_docs))
+    travels = small_side(wanted, 500_000)
+    texts = docs.join(travels.select("doc_id").distinct() if travels is wanted else F.broadcast(wanted.select("doc_id").distinct()), "doc_id", "left_semi")
+    sets = texts.mapInArrow(_sets, _SETS).join(travels, ["doc_id", "digest"]).select("id", "shingles")
+    sets = materialize(sets, "sets", files_for(spark, n_docs, 20_000))
+    if sets.count() > wanted.count():  # repeated rows
+        once = materialize(sets.groupBy("id").agg(F.first("shingles").alias("shingles")), "sets", files_for(spark, n_docs, 20_000))
+        discard(sets)
+        sets = once
 
     pivots = weighted.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"))).alias("p")).select("bucket", (-F.col("p.minus")).alias("pivot"))
     pairs = members.join(pivots, "bucket").where("id <> pivot").select("pivot", "id").distinct()
     # The member's set first: ids are spread evenly, and rows of a frequent pivot can be split.
     pairs = pairs.join(sets.withColumnRenamed("shingles", "y"), "id").join(sets.select(F.col("id").alias("pivot"), F.col("shingles").alias("x")), "pivot")
     tested = materialize(pairs.select("pivot", "id", "x", "y").mapInArrow(_confirm(percent), _TESTED), "tested", files_for(spark, n_docs, 20_000))
-    groups = tested.groupBy("pivot").agg(F.count("*").alias("size"), F.min("linked").alias("all")).where("size > 1 and not all")
+    groups = tested.groupBy("pivot").agg(F.count("*").alias("size"), F.count(F.when(~F.col("linked"), 1)).alias("far")).where("size > 1 and far > 0")
     # Few pivots have such members: where they can travel, nothing is dealt by pivot.
-    tiles = tested.join(small_side(groups.select("pivot", F.ceil(F.col("size") / TILE).alias("tiles"))), "pivot")
-    tiles = tiles.withColumn("tile", F.pmod(F.xxhash64("id"), "tiles")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-    tiles = tiles.withColumns({"low": F.least("tile", "other"), "high": F.greatest("tile", "other")})
-    inner = tiles.groupBy("pivot", "low", "high").applyInPandas(_tile(percent), "a long, b long")
-    links = tested.where("linked").select(F.col("pivot").alias("a"), F.col("id").alias("b")).union(inner)
+    tiles = lambda n: F.ceil(n / F.lit(TILE)).cast("long")
+    groups = groups.select("pivot", tiles(F.col("far")).alias("far"), tiles(F.col("size") - F.col("far")).alias("close"))
+    # Parts: 0, 1.. of members that aren't linked with the pivot; -1, -2.. of those that are. Each
+    # of the first meets itself and every other part; those of the second never meet each other.
+    dealt = tested.join(small_side(groups), "pivot")
+    spread = lambda n: F.pmod(F.xxhash64("id"), F.greatest(n, F.lit(1)))
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<long>"))
+    dealt = dealt.withColumn("part", F.when(F.col("linked"), -1 - spread(F.col("close"))).otherwise(spread(F.col("far"))))
+    others = F.when(F.col("linked"), upto(F.col("far"))).otherwise(F.concat(upto(F.col("far")), F.transform(upto(F.col("close")), lambda x: -1 - x)))
+    dealt = dealt.withColumn("other", F.explode(others)).withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
+    inner = dealt.groupBy("pivot", "low", "high").applyInPandas(_tile(percent), "a long, b long")
+    # A doc_id with several texts links their nodes.
+    homes = materialize(full.select("doc_id", "digest").join(nodes.select("digest", "node"), "digest").groupBy("doc_id", "node").count().select("doc_id", "node"), "homes", files_for(spark, n_docs))
+    ends = homes.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("last"))
+    own = homes.join(ends.where("a < last"), "doc_id").where("a < node").select("a", F.col("node").alias("b"))
+    links = tested.where("linked").select(F.col("pivot").alias("a"), F.col("id").alias("b")).union(inner).union(own)
     labels = components(links, files_for(spark, tested.count()))
-    discard(members, sets, tested)
-    named = full.select("doc_id", "digest").join(reps, "digest").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("component_id"))
-    named = named.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    named = nodes.select("node", "rep").join(labels, F.col("node") == F.col("id"), "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
+    smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
+    named = named.join(smallest, "label").select(F.col("node").alias("a"), "component_id")
+    named = materialize(ends.select("doc_id", "a").join(named, "a").select("doc_id", "component_id"), "components", files_for(spark, n_docs))
+    discard(members, wanted, sets, tested, labels, nodes, homes)
     out = scanned.select("doc_id", "n_shingles").join(named, "doc_id", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
