@@ -35,9 +35,9 @@ def _at(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def materialize(df: DataFrame, label: str, files: int | None = None) -> DataFrame:
+def materialize(df: DataFrame, label: str, files: int | None = None, passes: int = 1) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back; at most `files` files, for a
-    table that is known to be small.
+    table that is known to be small. `passes` as of release().
 
     This cuts the lineage: what is read later survives the loss of any executor, and a table
     used twice is computed once. Shuffle files of the finished job are then released. Tables that
@@ -50,7 +50,7 @@ def materialize(df: DataFrame, label: str, files: int | None = None) -> DataFram
     (df.coalesce(files) if files else df).write.option("compression", "zstd").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._tidemark_path = path
-    release(spark)
+    release(spark, passes)
     return back
 
 
@@ -60,12 +60,12 @@ def files_for(spark: SparkSession, rows: int, each: int = 500_000) -> int:
     return max(2 * spark.sparkContext.defaultParallelism, 1 + rows // each)
 
 
-def release(spark: SparkSession) -> None:
+def release(spark: SparkSession, passes: int = 1) -> None:
     """Let the context cleaner drop the shuffles of jobs that nothing refers to any more.
 
-    Twice: what the first collection finalises on either side, the second one frees.
+    What the first pass finalises on either side, a second one frees; else the next call does.
     """
-    for _ in range(2):
+    for _ in range(passes):
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.2)

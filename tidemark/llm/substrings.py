@@ -225,10 +225,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with
     known = docs.where("doc_id is not null")
     recurring = known.mapInArrow(_fingerprints(window, gram, False), "mark long, n long").groupBy("mark").agg(F.sum("n").alias("n")).where("n > 1")
     files = files_for(spark, 20 * docs.count())
-    recurring = materialize(recurring, "recurring", files)
+    recurring = materialize(recurring, "recurring", files, 2)
     pairs = known.mapInArrow(_fingerprints(window, gram, True), "doc_id long, mark long")
     pairs = pairs.join(recurring, "mark").groupBy("doc_id").agg(F.collect_set("mark").alias("marks"), F.collect_set(F.when(F.col("n") > hot_places, F.col("mark"))).alias("hot"))
-    marks = materialize(pairs, "marks", files)
+    marks = materialize(pairs, "marks", files, 2)
     marked = known.join(marks, "doc_id").select("doc_id", "text", "marks", "hot")
     # Segments merge into the earliest place before they move.
     size = marks.agg(F.sum(F.size("marks"))).first()[0] or 0
@@ -236,7 +236,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with
     segments = marked.mapInArrow(_segments(window, gram, shards), _SEGMENTS)
     segments = segments.groupBy("shard", "segment").agg(F.min(F.struct("doc_id", "start")).alias("at")).select("shard", "at.doc_id", "at.start", "segment")
     firsts = segments.groupBy("shard").applyInPandas(_locate(window), "doc_id long, firsts binary")
-    firsts = materialize(firsts.groupBy("doc_id").agg(F.collect_list("firsts").alias("firsts")), "firsts", files)
+    firsts = materialize(firsts.groupBy("doc_id").agg(F.collect_list("firsts").alias("firsts")), "firsts", files, 2)
     discard(recurring)
     notes = marks.join(firsts, "doc_id", "left").select("doc_id", "marks", "firsts")
     out = docs.join(notes, "doc_id", "left").select("doc_id", "text", "marks", "firsts")
