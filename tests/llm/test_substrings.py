@@ -85,3 +85,54 @@ def test_scanning_equals_python():
     x = np.random.default_rng(0).integers(0, 99, 50)
     for n in range(1, 20):
         assert (sliding(np.minimum, x, n) == [x[i : i + n].min() for i in range(50 - n + 1)]).all()
+
+
+def _first_places(window, docs, starts, segments):
+    first = {}
+    for doc, start, text in zip(docs, starts, segments, strict=True):
+        w = text.split(" ")
+        for p in range(len(w) - window + 1):
+            key = tuple(w[p : p + window])
+            first[key] = min(first.get(key, (doc, start + p)), (doc, start + p))
+    return sorted(first.values())
+
+
+def _shard(seed):
+    rng = random.Random(seed)
+    segments = [" ".join(rng.choice("abc") for _ in range(rng.randint(4, 12))) for _ in range(30)]
+    return [rng.randint(0, 9) for _ in segments], [100 * i for i in range(30)], segments
+
+
+@pytest.mark.parametrize("bits", [64, 3, 0])
+def test_hits_of_the_automaton_decide(monkeypatch, bits):
+    """Whatever the hashes confirm, words decide: few bits put many windows under a phrase's hash."""
+    from tidemark.llm import substrings
+
+    exact = substrings._window_hashes
+    monkeypatch.setattr(substrings, "_window_hashes", lambda ids, window: exact(ids, window) & np.uint64((1 << bits) - 1))
+    for seed in range(20):
+        docs, starts, segments = _shard(seed)
+        a, b = earliest(4, np.array(docs), np.array(starts), segments)
+        assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == _first_places(4, docs, starts, segments)
+
+
+def test_nothing_recurring_is_found_without_the_automaton(monkeypatch):
+    import ahocorasick
+
+    class Deaf:
+        def __init__(self, *args):
+            pass
+
+        def add_word(self, *args):
+            pass
+
+        def make_automaton(self):
+            pass
+
+        def iter(self, text):
+            return [(len(text) - 1, 0)] if text else []
+
+    docs, starts, segments = _shard(1)
+    monkeypatch.setattr(ahocorasick, "Automaton", Deaf)
+    a, b = earliest(4, np.array(docs), np.array(starts), segments)
+    assert sorted(zip(a.tolist(), b.tolist(), strict=True)) != _first_places(4, docs, starts, segments)

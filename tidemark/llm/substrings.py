@@ -8,9 +8,10 @@
    are merged, before the shuffle and after, into the earliest place. A fingerprint selected
    at very many places is split: each of its windows is a segment of its own, dealt by its
    content, so copies meet before the shuffle and contexts spread over all shards.
-4. Automata. Each shard holds the segments of a bounded number of fingerprints. It confirms the
-   recurring windows word by word, compiles an Aho-Corasick automaton of these phrases over word
-   ids, and streams its segments through, which locates every occurrence and so the earliest.
+4. Automata. Each shard holds the segments of a bounded number of fingerprints. It confirms which
+   windows recur in it by hashes, compiles an Aho-Corasick automaton of these phrases over word
+   ids, and streams all its segments through, which locates every occurrence word by word, and so
+   the earliest. A document's other words can hold no window of the shard, so they don't pass.
 5. Removal. A document keeps those of its marked windows that are earliest places, and loses
    the words that any other marked window covers.
 
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, files_for, materialize, small_batches
-from .textscan import Column, U, Words, chunks, grams, inside_rows, sliding
+from .textscan import Column, U, Words, chunks, grams, inside_rows, mix, sliding
 
 WINDOW = 20
 GRAM = 8
@@ -133,32 +134,49 @@ def earliest(window: int, doc_ids: np.ndarray, starts: np.ndarray, segments: lis
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     flat = np.fromiter((x for t in texts for x in t), np.uint32, int(lengths.sum()))
     ends = np.cumsum(lengths)
-    # Windows that lie in one segment, as rows of word ids: those equal to another recur.
     segment = np.repeat(np.arange(len(texts)), lengths)
-    at = np.flatnonzero(np.arange(len(flat)) + window <= ends[segment])
-    rows = np.lib.stride_tricks.sliding_window_view(flat, window)[at]
-    as_one = np.ascontiguousarray(rows).view(np.dtype((np.void, 4 * window))).ravel()
-    _, where, n = np.unique(as_one, return_index=True, return_counts=True)
-    once, often = where[n == 1], where[n > 1]
+    at = np.flatnonzero(np.arange(len(flat)) + window <= ends[segment])  # windows that lie in one segment
     place = starts[segment] + np.arange(len(flat)) - (ends - lengths)[segment]
-    docs, firsts = [doc_ids[segment[at[once]]]], [place[at[once]]]
-    if len(often):
+    hashes = _window_hashes(flat, window)[at]
+    _, where, kind, n = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+    # A hash that is alone is no recurring window.
+    once = at[where[n == 1]]
+    docs, firsts = [doc_ids[segment[once]]], [place[once]]
+    phrases = at[where[n > 1]]
+    if len(phrases):
         automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        for i, phrase in enumerate(rows[often].tolist()):
+        for i, phrase in enumerate(np.lib.stride_tricks.sliding_window_view(flat, window)[phrases].tolist()):
             automaton.add_word(tuple(phrase), i)
         automaton.make_automaton()
         # In the order of places; of a phrase's occurrences the first counts.
-        best: dict[int, tuple[int, int]] = {}
+        best: dict[object, tuple[int, int]] = {}
+        hits = 0
         for text, doc, start in zip(texts, doc_ids.tolist(), starts.tolist(), strict=True):
             for end, phrase in automaton.iter(text):
                 spot = (doc, start + end - window + 1)
+                hits += 1
                 if phrase not in best or spot < best[phrase]:
                     best[phrase] = spot
+        often = at[n[kind] > 1]
+        if hits < len(often):  # other words under a phrase's hash
+            known = {tuple(flat[p : p + window].tolist()) for p in phrases}
+            for p in often.tolist():
+                if (words := tuple(flat[p : p + window].tolist())) not in known:
+                    spot = (int(doc_ids[segment[p]]), int(place[p]))
+                    best[words] = min(best.get(words, spot), spot)
         docs.append(np.fromiter((x[0] for x in best.values()), np.int64, len(best)))
         firsts.append(np.fromiter((x[1] for x in best.values()), np.int64, len(best)))
     return np.concatenate(docs), np.concatenate(firsts)
 
 
+def _window_hashes(ids: np.ndarray, window: int) -> np.ndarray:
+    """Of the windows from each word id on; the last window - 1 of them are of no window."""
+    out = np.zeros(len(ids), U)
+    found = grams(mix(ids.astype(U)), window)
+    out[: len(found)] = found
+    return out
+
+
 def _locate(window: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         docs, firsts = earliest(window, pdf["doc_id"].to_numpy(np.int64), pdf["start"].to_numpy(np.int64), pdf["segment"].tolist())
