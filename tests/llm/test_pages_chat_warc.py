@@ -116,3 +116,52 @@ def test_record(spark):
     row = spark.createDataFrame([(1, "http://x", "hé")], "i long, u string, p string").select(warc_record(F.col("i"), F.col("u"), F.col("p")).alias("r")).first()
     head, body = row.r.split("\r\n\r\n", 1)
     assert head.startswith("WARC/1.0\r\n") and "Content-Length: 3" in head and body == "hé\r\n\r\n"
+
+
+def paragraphs(rng, n):
+    """Paragraphs of the article, some short, and its text."""
+    parts = [" ".join(rng.choice(["harbour", "light", "the", "of", "winter", "a&amp;b", "m\xe9t\xe9o", "&lt;tag&gt;"]) for _ in range(rng.choice([2, 9, 30, 60]))) for _ in range(n)]
+    return parts, " ".join(html.unescape(p) for p in parts)
+
+
+MENU = "<ul>" + "".join(f"<li><a href='/{i}'>section number {i}</a></li>" for i in range(12)) + "</ul>"
+FOOT = "<footer><p>Imprint and contact of the publisher, all rights reserved, and so on and on.</p></footer>"
+ASIDE = "<div class='sidebar-left'><p>" + "Something about another topic entirely. " * 4 + "</p></div>"
+REMARKS = "<section id='comments'><article><p>" + "I beg to differ with all of it. " * 9 + "</p></article></section>"
+TEMPLATES = {
+    "article": "<html><head><title>T</title></head><body><nav>{menu}</nav><article>{body}</article>{aside}{remarks}{foot}</body></html>",
+    "post": "<html><body>{menu}<hr><div class='post'>{body}</div>{aside}{remarks}{foot}</body></html>",
+    "teaser": "<html><body>{menu}<div class=post>{body}</div><article><p>Read more of us.</p></article>{aside}{foot}</body></html>",
+    "teaser first": "<body><nav>{menu}</nav><article><h2>A teaser of some words</h2></article><div id=page>{body}</div>{foot}</body>",
+    "table": "<table><tr><td class='nav-left'>{menu}</td><td>{body}</td><td id='ads'>Buy now, buy here, buy more, buy again, buy all.</td></tr></table>{foot}",
+    "topics": "<main><section class='tags-history'>{body}</section></main>{remarks}{foot}",
+    "search": "<main><div id='search-results-explained' class='social-contract header-history'>{body}</div></main><div class='search-box'>Search for something here</div>{foot}",
+    "plain": "{body}",
+}
+
+
+@pytest.mark.parametrize("template", TEMPLATES)
+def test_templates_give_their_body(template):
+    import random
+
+    rng = random.Random(template)
+    for n in (4, 12, 40):
+        parts, text = paragraphs(rng, n)
+        body = "".join(f"<p>{p}</p>\n" for p in ["the " * 40 + "opening", *parts, "closing " * 30])
+        text = f"{'the ' * 40}opening {text} {'closing ' * 30}".strip()
+        page = TEMPLATES[template].format(menu=MENU, body=body, aside=ASIDE, remarks=REMARKS, foot=FOOT)
+        assert main_text(page) == text
+
+
+def test_windows_decide_where_nothing_is_marked():
+    body = "<p>" + "A sentence that belongs to the text of this page. " * 3 + "</p>"
+    assert main_text(f"<p>Stray</p><ul><li><a>x</a></li><li><a>y</a></li><li><a>z</a></li></ul>{body * 4}") == " ".join([html.unescape(body[3:-4]).strip()] * 4)
+
+
+@pytest.mark.parametrize("page", ["<a " * 60_000 + ">", "<title " * 40_000 + "/>", "<script " * 40_000, "<a '" * 60_000 + ">", "<!" * 60_000 + ">", "<p>" * 60_000, "&" * 60_000, "<a title='" + "x>" * 60_000])
+def test_odd_markup_takes_time_in_proportion(page):
+    import time
+
+    began = time.process_time()
+    main_text(page)
+    assert time.process_time() - began < 4

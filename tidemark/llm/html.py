@@ -4,8 +4,11 @@ A page's markup is stripped to lines, one for each block element. Lines of boile
 (menus, page headers, footers, sidebars, notices, adverts, forms, comments) weigh nothing. The
 weights are summed over sliding windows of lines. A surge is a line at which the sum rises
 from zero, a dive one at which it is back at zero; the text from a surge to the next dive is
-kept if some window in between is heavy enough. Where a page marks its article, lines outside
-of it weigh nothing and any text inside is heavy enough.
+kept if some window in between is heavy enough.
+
+Where a page marks articles, the lines inside and those outside compete by their text: if the
+article isn't far the lighter, its lines weigh a heavy window more, and lines outside weigh
+nothing; else it is taken for a teaser, and its lines weigh nothing.
 """
 
 from __future__ import annotations
@@ -22,18 +25,21 @@ from .common import small_batches
 #: Lines in a window, and the text (code points) that makes a window heavy.
 WINDOW = 3
 HEAVY = 86
+#: Text outside of articles by which they are teasers, as a multiple of the text inside.
+TEASER = 2
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(script|noscript|template|iframe|textarea|select)\b[^>]*+>.*?(?:</\1\s*+>|\Z)"
     # In drawings these may close themselves.
-    r"|<(style|title)\b[^>]*+(?<!/)>.*?(?:</\2\s*+>|\Z)"
+    r"|<(style|title)\b[^<>]*+(?<!/)>.*?(?:</\2\s*+>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)/?>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^<>]*+)>"
-    r"|<[!?/][^>]*+(?:>|\Z)"
-    r"|<[a-zA-Z][^>]*+\Z",
+    r"|<[!?/][^>]*+(?:>|\Z)",
     re.S | re.I,
 )
+#: A tag that the page's end cuts off: it has no end after it.
+_CUT = re.compile(r"<[a-zA-Z]")
 _BLOCK = frozenset("address article aside blockquote body br button caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul video audio".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BOILERPLATE = frozenset("nav header footer aside form button dialog menu fieldset".split())
@@ -46,6 +52,9 @@ _NAME = re.compile(r"\b(?:class|id|role)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _WORDS = re.compile(r"[a-z]+")
 _NAMES = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies copyright disclaimer discussion disqus footer gdpr header login masthead menu modal nav navbar navigation navigator newsletter notice notices notification pager pagination popup promo promoted promotion related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar toc widget complementary".split())
+#: Of these, what can name a topic as well: boilerplate only alone or with words for parts of a page.
+_TOPICS = frozenset("banner copyright disclaimer discussion header login menu navigator notice notices notification popup related replies reply respond search share sharing skip social tags toc widget".split())
+_PARTS = frozenset("area articles bar block bottom box btn button buttons column container field fixed float footer form global grid group heading home icon icons inner input item items left link links list main meta mobile modal module news outer page panel posts primary right row secondary section site slot small stories sub tab the this title top unit user web wrap wrapper".split())
 _CONTENT = frozenset("article body content entry main post story text".split())
 _NEAR = frozenset("has is no not with without".split())
 _COMMENTS = frozenset("comment comments discussion disqus replies reply respond related complementary".split())
@@ -56,7 +65,7 @@ def _named(attributes: str) -> str | None:
 
     A name with a word for content (article-text, content-ad-free) doesn't make boilerplate unless
     it ends in one for boilerplate (article-footer), nor does one that only states what is near
-    (with-sidebar).
+    (with-sidebar), nor one that names a topic (tags-history, search-results).
     """
     kind = None
     for m in _NAME.finditer(attributes):
@@ -64,9 +73,12 @@ def _named(attributes: str) -> str | None:
             words = _WORDS.findall(name)
             if not words or words[0] in _NEAR or _CONTENT.intersection(words) and words[-1] not in _NAMES:
                 continue
+            found = _NAMES.intersection(words)
+            if found <= _TOPICS and any(len(w) > 2 and w not in _NAMES and w not in _PARTS for w in words):
+                continue
             if _COMMENTS.intersection(words):
                 return "comments"
-            if _NAMES.intersection(words):
+            if found:
                 kind = "boilerplate"
     return kind
 
@@ -79,6 +91,8 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
     skip, closing = "", 0  # the open boilerplate element and how many of its name are open in it
     skip_comments = False
     at, found, in_head = 0, False, False
+    if cut := _CUT.search(page, page.rfind(">") + 1):
+        page = page[: cut.start()]
 
     def piece(a: int, b: int) -> str:
         s = page[a:b]
@@ -170,18 +184,21 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     lines, article = lines_of(page)
+    weights = [len(t) if 5 * linked < 4 * len(t) else 0 for t, linked, _ in lines]
     if article:
-        weights, heavy = [len(t) if inside else 0 for t, _, inside in lines], 1
-    else:
-        weights, heavy = [len(t) if 5 * linked < 4 * len(t) else 0 for t, linked, _ in lines], HEAVY
+        inside = sum(len(t) for t, _, own in lines if own)
+        outside = sum(w for w, (_, _, own) in zip(weights, lines, strict=True) if not own)
+        if outside > TEASER * inside + HEAVY:
+            weights = [0 if own else w for w, (_, _, own) in zip(weights, lines, strict=True)]
+        else:
+            weights = [len(t) + HEAVY if own and t else 0 for t, _, own in lines]
     # Sums over the windows that end at each line, WINDOW lines of nothing around.
     sums, total = [], 0
     padded = [*weights, *[0] * WINDOW]
     for i, w in enumerate(padded):
         total += w - (padded[i - WINDOW] if i >= WINDOW else 0)
         sums.append(total)
-    if not article:
-        heavy = min(heavy, max(sums, default=0))
+    heavy = min(HEAVY, max(sums, default=0))
     kept: list[str] = []
     surge = -1
     for i, s in enumerate(sums):
@@ -190,7 +207,7 @@ def main_text(page: str | None) -> str:
         elif not s and surge >= 0:
             if heavy and max(sums[surge:i]) >= heavy:
                 last = max(j for j in range(surge, min(i, len(weights))) if weights[j])
-                kept += [t for (t, _, _), w in zip(lines[surge : last + 1], weights[surge : last + 1], strict=True) if w or not article and t]
+                kept += [t for (t, _, _), w in zip(lines[surge : last + 1], weights[surge : last + 1], strict=True) if w or t and not article]
             surge = -1
     return " ".join(kept)
 
