@@ -106,3 +106,26 @@ def test_gain_of_the_ideal(spark):
 
     row = spark.range(1).select(ideal_gain(F.lit(3)).alias("x"), ideal_gain(F.lit(0)).alias("y")).first()
     assert row.y == 0 and math.isclose(row.x, 1 + 1 / math.log2(3) + 0.5)
+
+
+def test_evaluate_applies_its_own_rules(toy, spark):
+    data, drawn, scores = toy
+    for bad in (scores.withColumn("score", F.lit(float("nan"))), scores.withColumn("score", F.lit(float("inf"))), scores.withColumn("score", F.lit(None).cast("double")), scores.union(scores)):
+        with pytest.raises(Exception, match="one for each pair"):
+            ev.evaluate(bad, data, drawn, 3).collect()
+    catalog = frame(spark, [(i,) for i in range(10, 70, 10)], "item_id long")
+    full = ev.EvalData(data.population, frame(spark, [(1, i) for i in range(10, 70, 10)]), data.relevant, data.train_items, data.ever_rated)
+    row = ev.evaluate(scores, full, drawn, 3, catalog).first()
+    assert (row.n_users, row.recall, row.ndcg) == (1, 1.0, 0.63093)
+    assert ev.evaluate(scores, data, drawn, 3, catalog).first().n_users == 2
+
+
+def test_summary_counts_who_is_left_out(toy, spark):
+    data, drawn, scores = toy
+    catalog = data.train_items
+    log = [(1, 10, 5.0, "train"), (1, 30, 5.0, "val"), (1, 50, 4.0, "val"), (2, 20, 4.0, "train"), (2, 10, 4.0, "val"), (3, 10, 2.0, "train"), (3, 20, 5.0, "val"), (4, 10, 5.0, "train"), (4, 20, 1.0, "val"), (5, 10, 1.0, "train")]
+    splits = spark.createDataFrame(log, f"{PAIRS}, rating double, split_user string")
+    masked = ev.mask_seen(scores, data.seen)
+    row = ev.summary(ev.top_k(masked, 3), data, splits, catalog, ev.user_auc(masked, data, drawn), k=3).first()
+    assert (row.n_users, row.recall, row.ndcg, row.auc, row.n_covered, row.n_train_items, row.skipped_all_seen) == (2, 0.75, 0.508891, 0.5, 5, 6, 0)
+    assert (row.excluded_no_train_positive, row.excluded_no_target_positive) == (2, 1)

@@ -109,3 +109,39 @@ def test_recent_history(train):
     for u in {r.user_id for r in rows}:
         own = sorted((r for r in rows if r.user_id == u), key=lambda r: (-r.ts, -r.item_id))[:2]
         assert {(u, r.item_id) for r in own} == {p for p in got if p[0] == u}
+
+
+def test_blocked_inverse_equals_the_whole(train):
+    gram = mo.item_gram(mo.likes(train), 1).cache()
+    want = {(r.i, r.j): r.s for r in mo.ease_weights(gram, 3.0).collect()}
+    for block in (7, 16, 100):
+        got = {(r.i, r.j): r.s for r in mo.ease_weights_blocked(gram, 3.0, block).collect()}
+        assert all(abs(got.get(p, 0.0) - want.get(p, 0.0)) < 1e-9 for p in got.keys() | want.keys())
+
+
+def test_more_items_than_one_matrix_takes(train, monkeypatch):
+    liked = mo.likes(train)
+    seen = train.select("user_id", "item_id")
+    gram = mo.item_gram(liked, 1).cache()
+    want = {(r.user_id, r["rank"]): r.item_id for r in mo.ease_top_k(liked, mo.ease(gram, 3.0), seen, 5).collect()}
+    monkeypatch.setattr(mo, "MAX_DENSE", 3)
+    assert {(r.user_id, r["rank"]): r.item_id for r in mo.ease_top_k(liked, mo.ease(gram, 3.0), seen, 5).collect()} == want
+
+
+@pytest.mark.parametrize("block", [1, 3, 1000])
+def test_blocks_of_a_users_items_give_the_same_gram(train, dense, monkeypatch, block):
+    _, items, x = dense
+    monkeypatch.setattr(mo, "BLOCK", block)
+    g = x.T @ x
+    got = {(r.i, r.j): r.n for r in mo.item_gram(mo.likes(train), 1).collect()}
+    assert got == {(items[a], items[b]): g[a, b] for a in range(40) for b in range(40) if g[a, b]}
+
+
+def test_als_lists_do_not_depend_on_other_users(train):
+    model = mo.als_factors(mo.likes(train), rank=4, seed=1)
+    seen, users = train.select("user_id", "item_id"), train.select("user_id").distinct()
+    rows = lambda u: {(r.user_id, r["rank"], r.item_id) for r in mo.als_top_k(model, u, seen, 5).collect()}
+    every = rows(users)
+    for user in (1, 7):
+        assert rows(users.where(F.col("user_id") == user)) == {r for r in every if r[0] == user}
+    assert mo.als_top_k(model, users.limit(0), seen, 5).count() == 0

@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests import fixtures
 from tidemark import sources as so
@@ -64,3 +65,35 @@ def test_checked_file(tmp_path):
     for bad in ({"sha256": "0"}, {"md5": "0"}, {"lines": 3}):
         with pytest.raises(ValueError):
             so.checked_file(str(path), **bad)
+
+
+def test_rows_of_a_key_are_replaced_in_place(spark, tmp_path):
+    from tidemark.sources import replace_key
+
+    path = f"file://{tmp_path}/results"
+    frame = lambda *rows: spark.createDataFrame(list(rows), "model string, value double")
+    replace_key(spark, path, frame(("a", 1.0), ("b", 2.0)), "model", "a")
+    replace_key(spark, path, spark.read.parquet(path).where("model = 'a'").withColumn("value", F.lit(9.0)), "model", "a")
+    assert {tuple(r) for r in spark.read.parquet(path).collect()} == {("a", 9.0), ("b", 2.0)}
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["results"]
+
+
+def test_a_cluster_without_a_shared_folder_is_refused(spark, monkeypatch):
+    from tidemark.sources import shared_path
+
+    assert shared_path(spark, "x").startswith("file://")
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+    with pytest.raises(RuntimeError, match="share"):
+        shared_path(Session(), "x")

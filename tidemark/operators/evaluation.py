@@ -98,6 +98,15 @@ def check_scores(scores: DataFrame) -> DataFrame:
     return scores
 
 
+def validated(scores: DataFrame) -> DataFrame:
+    """user_id, item_id, score; the job fails on a null, NaN or +infinity and on a pair that occurs
+    twice. Checked where the rows are used, on the partitioning that masking needs anyway."""
+    bad = F.col("score").isNull() | F.isnan("score") | (F.col("score") == float("inf"))
+    rows = scores.groupBy("user_id", "item_id").agg(F.max("score").alias("score"), F.count("*").alias("__n"), F.max(bad).alias("__bad"))
+    wrong = (F.col("__n") > 1) | F.col("__bad")
+    return rows.select("user_id", "item_id", F.when(wrong, F.raise_error(F.lit("scores must be numbers, one for each pair")).cast("double")).otherwise(F.col("score").cast("double")).alias("score"))
+
+
 def mask_seen(scores: DataFrame, seen: DataFrame) -> DataFrame:
     return scores.join(seen, ["user_id", "item_id"], "left_anti")
 
@@ -153,15 +162,42 @@ def coverage(top: DataFrame, data: EvalData) -> DataFrame:
     return both.agg(total(F.col("shown"), "n_items_recommended"), total(F.col("shown") * F.col("known"), "n_covered"), total(F.col("known"), "n_train_items")).withColumn("coverage", F.round(F.col("n_covered") / F.col("n_train_items"), 6))
 
 
-def evaluate(scores: DataFrame, data: EvalData, drawn: DataFrame | None = None, k: int = K) -> DataFrame:
-    """One row of means over the population; AUC where negatives are given."""
-    masked = mask_seen(scores, data.seen)
-    users = user_metrics(top_k(masked, k), data, k)
-    wanted = [F.count("*").alias("n_users"), F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("ndcg"), 6).alias("ndcg")]
-    if drawn is not None:
-        users = users.join(user_auc(masked, data, drawn), "user_id", "left")
-        wanted.append(F.round(F.avg("auc"), 6).alias("auc"))
-    return users.agg(*wanted)
+def per_user(top: DataFrame, data: EvalData, catalog: DataFrame | None = None, auc: DataFrame | None = None, k: int = K) -> DataFrame:
+    """user_metrics() with auc (user_id, auc) where given, without users who have seen the whole catalogue."""
+    users = user_metrics(top, data, k)
+    if auc is not None:
+        users = users.join(auc, "user_id", "left")
+    return users if catalog is None else users.join(skipped_users(data, catalog), "user_id", "left_anti")
+
+
+def evaluate(scores: DataFrame, data: EvalData, drawn: DataFrame | None = None, k: int = K, catalog: DataFrame | None = None) -> DataFrame:
+    """One row of means over the population; AUC where negatives are given. Scores are validated();
+    with a catalogue, users who have seen all of it are left out."""
+    masked = mask_seen(validated(scores), data.seen)
+    users = per_user(top_k(masked, k), data, catalog, None if drawn is None else user_auc(masked, data, drawn), k)
+    return _means(users, drawn is not None)
+
+
+def _means(users: DataFrame, auc: bool) -> DataFrame:
+    names = ["recall", "ndcg", *(["auc"] if auc else [])]
+    return users.agg(F.count("*").alias("n_users"), *[F.round(F.avg(c), 6).alias(c) for c in names])
+
+
+def summary(top: DataFrame, data: EvalData, splits: DataFrame, catalog: DataFrame, auc: DataFrame | None = None, scheme: str = "user", target: str = "val", k: int = K) -> DataFrame:
+    """One row about a top-k list: the means over the users who count, coverage by what they were
+    shown, and who is left out: skipped_all_seen of the population, and users of the log without
+    a positive in train or in the target slice."""
+    skipped = skipped_users(data, catalog)
+    users = _means(per_user(top, data, catalog, auc, k), auc is not None)
+    shown = coverage(top.join(skipped, "user_id", "left_anti"), data)
+    label = F.col(f"split_{scheme}")
+    has = lambda name: F.max((positive() & (label == name)).cast("int"))
+    log = splits.groupBy("user_id").agg(has("train").alias("t"), has(target).alias("h"))
+    out = log.agg(F.count(F.when(F.col("t") == 0, 1)).alias("excluded_no_train_positive"), F.count(F.when((F.col("t") == 1) & (F.col("h") == 0), 1)).alias("excluded_no_target_positive"))
+    left = skipped.join(data.population, "user_id", "left_semi").agg(F.count("*").alias("skipped_all_seen"))
+    # Rows of one each.
+    one = lambda df: df.withColumn("__one", F.lit(1))
+    return one(users).join(one(shown), "__one").join(one(left), "__one").join(one(out), "__one").drop("__one")
 
 
 def subsample(users: DataFrame, n: int, seed: int = 0) -> DataFrame:

@@ -6,15 +6,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import first_per_group
-from .evaluation import K
+from ..sources import shared_path, written
+from .evaluation import K, mask_seen, numbered, top_k
 from .splits import positive
 
-#: A dense item matrix is inverted on the driver: never more items than this.
+#: A dense item matrix of at most so many items is inverted on the driver; a larger one in blocks.
 MAX_DENSE = 4_000
+#: Items on a side of a block, of a user's positives and of a dense matrix.
+BLOCK = 1_000
 
 
 def likes(train: DataFrame) -> DataFrame:
@@ -57,11 +60,19 @@ def kept_items(liked: DataFrame, min_positives: int) -> DataFrame:
 
 
 def item_gram(liked: DataFrame, min_positives: int) -> DataFrame:
-    """i, j, n: users who like both, the diagonal included, for kept items; zeros are absent."""
+    """i, j, n: users who like both, the diagonal included, for kept items; zeros are absent.
+
+    A user with many positives is split into blocks of some BLOCK items, and pairs of blocks are
+    keys of their own: no task gets all the pairs of one user.
+    """
     own = liked.join(kept_items(liked, min_positives).select("item_id"), "item_id", "left_semi")
-    a, b = own.select("user_id", F.col("item_id").alias("i")), own.select("user_id", F.col("item_id").alias("j"))
+    n = F.count("*").over(Window.partitionBy("user_id"))
+    own = own.select("user_id", "item_id", F.ceil(n / F.lit(BLOCK)).alias("blocks")).withColumn("block", F.pmod(F.xxhash64("item_id"), "blocks"))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    a = own.select("user_id", F.col("block").alias("x"), F.col("other").alias("y"), F.col("item_id").alias("i"))
+    b = own.select("user_id", F.col("other").alias("x"), F.col("block").alias("y"), F.col("item_id").alias("j"))
     # Half of the pairs, then mirrored: the matrix is symmetric.
-    upper = a.join(b, "user_id").where("i <= j").groupBy("i", "j").agg(F.count("*").alias("n"))
+    upper = a.join(b, ["user_id", "x", "y"]).where("i <= j").groupBy("i", "j").agg(F.count("*").alias("n"))
     return upper.unionByName(upper.where("i < j").select(F.col("j").alias("i"), F.col("i").alias("j"), "n"))
 
 
@@ -123,6 +134,90 @@ def ease_weights(gram: DataFrame, lam: float, max_items: int = MAX_DENSE) -> Dat
     return spark.createDataFrame(pd.DataFrame({"i": own[i], "j": own[j], "s": b[i, j]}), "i long, j long, s double")
 
 
+def ease_weights_blocked(gram: DataFrame, lam: float, block: int = BLOCK) -> DataFrame:
+    """ease_weights() of any number of items: a matrix of dense blocks, inverted in place.
+
+    Gauss-Jordan by blocks: in step k the block on the diagonal is inverted, row and column k
+    are multiplied by it, and every other block loses their product. The matrix is positive
+    definite, so no pivots are searched. Each step is a job over all blocks, joined with row
+    and column k, and written; a task holds a few blocks of block * block doubles.
+    """
+    spark = gram.sparkSession
+    places = written(numbered(gram.where("i = j").select(F.col("i").alias("item_id"))), "ease-places")
+    n = places.count()
+    size = lambda b: min(block, n - b * block)
+    steps = -(-n // block)
+    row, col = (places.select(F.col("item_id").alias(c), F.col("place").alias(p)) for c, p in (("i", "r"), ("j", "c")))
+    cells = gram.join(row, "i").join(col, "j").select((F.col("r") / block).cast("int").alias("bi"), (F.col("c") / block).cast("int").alias("bj"), F.pmod("r", F.lit(block)).alias("r"), F.pmod("c", F.lit(block)).alias("c"), F.col("n").cast("double").alias("x"))
+    # Every block is there, if only with zeros.
+    grid = spark.range(steps * steps).select((F.col("id") / steps).cast("int").alias("bi"), (F.col("id") % steps).cast("int").alias("bj"), F.lit(0).cast("bigint").alias("r"), F.lit(0).cast("bigint").alias("c"), F.lit(0.0).alias("x"))
+
+    def dense(pdf: pd.DataFrame) -> pd.DataFrame:
+        bi, bj = int(pdf["bi"].iloc[0]), int(pdf["bj"].iloc[0])
+        m = np.zeros((size(bi), size(bj)))
+        np.add.at(m, (pdf["r"].to_numpy(), pdf["c"].to_numpy()), pdf["x"].to_numpy())
+        if bi == bj:
+            m[np.diag_indices(len(m))] += lam
+        return pd.DataFrame({"bi": [bi], "bj": [bj], "m": [m.tobytes()]})
+
+    schema = "bi int, bj int, m binary"
+    blocks = written(cells.unionByName(grid).groupBy("bi", "bj").applyInPandas(dense, schema), "ease-blocks")
+    for k in range(steps):
+
+        def step(batches: Iterator[pd.DataFrame], k: int = k) -> Iterator[pd.DataFrame]:
+            inverse: np.ndarray | None = None
+            for batch in batches:
+                out = []
+                for bi, bj, own, left, up, pivot in batch.itertuples(index=False):
+                    if inverse is None:
+                        inverse = np.linalg.inv(np.frombuffer(pivot).reshape(size(k), size(k)))
+                    shaped = lambda raw, a, b: np.frombuffer(raw).reshape(size(a), size(b))
+                    if bi == k and bj == k:
+                        m = inverse
+                    elif bi == k:
+                        m = inverse @ shaped(own, k, bj)
+                    elif bj == k:
+                        m = -shaped(own, bi, k) @ inverse
+                    else:
+                        m = shaped(own, bi, bj) - shaped(left, bi, k) @ (inverse @ shaped(up, k, bj))
+                    out.append((bi, bj, np.ascontiguousarray(m).tobytes()))
+                yield pd.DataFrame(out, columns=["bi", "bj", "m"])
+
+        left = blocks.where(F.col("bj") == k).select("bi", F.col("m").alias("left"))
+        up = blocks.where(F.col("bi") == k).select("bj", F.col("m").alias("up"))
+        pivot = blocks.where((F.col("bi") == k) & (F.col("bj") == k)).select(F.col("m").alias("pivot"))
+        joined = blocks.join(left, "bi").join(up, "bj").join(F.broadcast(pivot)).select("bi", "bj", "m", "left", "up", "pivot")  # one row of one block
+        blocks = written(joined.mapInPandas(step, schema), "ease-blocks")
+
+    diagonal = blocks.where("bi = bj").select("bj", F.col("m").alias("own"))
+
+    def weights(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for bi, bj, raw, own in batch.itertuples(index=False):
+                d = np.diag(np.frombuffer(own).reshape(size(bj), size(bj)))
+                b = -np.frombuffer(raw).reshape(size(bi), size(bj)) / d[None, :]
+                if bi == bj:
+                    b[np.diag_indices(len(b))] = 0
+                r, c = np.nonzero(b)
+                yield pd.DataFrame({"r": r + bi * block, "c": c + bj * block, "s": b[r, c]})
+
+    pairs = blocks.join(diagonal, "bj").select("bi", "bj", "m", "own").mapInPandas(weights, "r long, c long, s double")
+    return pairs.join(row, "r").join(col, "c").select("i", "j", "s")
+
+
+def ease(gram: DataFrame, lam: float) -> DataFrame:
+    """The item weights, whatever the number of items: one inverse on the driver, or one in blocks."""
+    few = gram.where("i = j").limit(MAX_DENSE + 1).count() <= MAX_DENSE
+    return ease_weights(gram, lam) if few else ease_weights_blocked(gram, lam)
+
+
+def ease_top_k(history: DataFrame, weights: DataFrame, seen: DataFrame, k: int = K) -> DataFrame:
+    """user_id, item_id, score, rank by EASE weights: in one matrix for few items, else joined."""
+    if weights.select("j").distinct().limit(MAX_DENSE + 1).count() <= MAX_DENSE:
+        return dense_top_k(history, weights, seen, k)
+    return top_k(mask_seen(history_scores(history, weights), seen), k)
+
+
 def dense_top_k(history: DataFrame, weights: DataFrame, seen: DataFrame, k: int = K) -> DataFrame:
     """user_id, item_id, score, rank of history_scores() without seen items, for dense weights.
 
@@ -166,8 +261,8 @@ def als_factors(liked: DataFrame, rank: int = 8, reg: float = 0.1, alpha: float
     from pyspark.ml.recommendation import ALS
 
     spark = liked.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/tidemark-als")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_path(spark, "als"))
     als = ALS(userCol="user_id", itemCol="item_id", ratingCol="label", implicitPrefs=True, rank=rank, regParam=reg, alpha=alpha, maxIter=max_iter, seed=seed, numUserBlocks=10, numItemBlocks=10, checkpointInterval=5, coldStartStrategy="nan")
     return als.fit(liked.select(F.col("user_id").cast("int"), F.col("item_id").cast("int"), F.lit(1.0).alias("label")))
 
@@ -175,11 +270,19 @@ def als_factors(liked: DataFrame, rank: int = 8, reg: float = 0.1, alpha: float
 def als_top_k(model, users: DataFrame, seen: DataFrame, k: int = K) -> DataFrame:
     """user_id, item_id, score, rank. Items without a factor can't be scored; users without one score 0.
 
-    Each user gets k + n_seen items, by blocked matrix products inside the tasks.
+    A user gets k items more than it has seen, by blocked matrix products inside the tasks. Users
+    are asked for by classes of that number, up to the next power of two, so that one user with very
+    many seen items makes no long lists for the others.
     """
-    most = (seen.groupBy("user_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) + k
-    found = model.recommendForUserSubset(users.select(F.col("user_id").cast("int").alias("user_id")), most)
-    rows = found.select(F.col("user_id").cast("bigint"), F.explode("recommendations").alias("r")).select("user_id", F.col("r.item_id").cast("bigint").alias("item_id"), F.col("r.rating").cast("double").alias("score"))
+    counts = users.select("user_id").distinct().join(seen.groupBy("user_id").agg(F.count("*").alias("n")), "user_id", "left")
+    counts = counts.select("user_id", F.ceil(F.log2(F.coalesce("n", F.lit(0)) + F.lit(k))).cast("int").alias("class")).cache()
+    rows = None
+    for c in sorted(r["class"] for r in counts.select("class").distinct().collect()):  # some thirty at most
+        found = model.recommendForUserSubset(counts.where(F.col("class") == c).select(F.col("user_id").cast("int").alias("user_id")), 1 << c)
+        part = found.select(F.col("user_id").cast("bigint"), F.explode("recommendations").alias("r")).select("user_id", F.col("r.item_id").cast("bigint").alias("item_id"), F.col("r.rating").cast("double").alias("score"))
+        rows = part if rows is None else rows.unionByName(part)
+    if rows is None:
+        rows = users.sparkSession.createDataFrame([], "user_id long, item_id long, score double")
     lost = users.select("user_id").join(model.userFactors.select(F.col("id").cast("bigint").alias("user_id")), "user_id", "left_anti")
     known = model.itemFactors.select(F.col("id").cast("bigint").alias("item_id"))
     rows = rows.join(seen, ["user_id", "item_id"], "left_anti")

@@ -307,7 +307,7 @@ _EASE_MIN, _LAMBDA = 10, 50.0
 def ease_identity(spark, d):
     """(G + lambda I) B off the diagonal, which must be G."""
     _, gram = _gram(spark, d, _EASE_MIN)
-    b = mo.ease_weights(gram, _LAMBDA)
+    b = mo.ease(gram, _LAMBDA)
     left = gram.select("i", F.col("j").alias("k"), (F.col("n") + F.when(F.col("i") == F.col("j"), _LAMBDA).otherwise(0.0)).alias("g"))
     x = left.join(b.select(F.col("i").alias("k"), "j", "s"), "k").groupBy("i", "j").agg((F.round(F.sum(F.col("g") * F.col("s")), 6) + 0.0).alias("x"))
     return x.where("i <> j and x <> 0")
@@ -318,7 +318,7 @@ def ease_topk(spark, d):
     data = Data(spark, d)
     e = data.eval()
     liked, gram = _gram(spark, d, _EASE_MIN)
-    return mo.dense_top_k(liked.join(e.population, "user_id", "left_semi"), mo.ease_weights(gram, _LAMBDA), e.seen)
+    return mo.ease_top_k(liked.join(e.population, "user_id", "left_semi"), mo.ease(gram, _LAMBDA), e.seen)
 
 
 @query()
@@ -326,7 +326,7 @@ def ease_recent_topk(spark, d):
     data = Data(spark, d)
     e = data.eval()
     history = mo.recent_history(data.train(), 10).join(e.population, "user_id", "left_semi")
-    return mo.dense_top_k(history, mo.ease_weights(_gram(spark, d, _EASE_MIN)[1], _LAMBDA), e.seen)
+    return mo.ease_top_k(history, mo.ease(_gram(spark, d, _EASE_MIN)[1], _LAMBDA), e.seen)
 
 
 @query(q(o.SPLITS, o.train(), select="SELECT DISTINCT item_id, 8::BIGINT AS rank FROM liked"))

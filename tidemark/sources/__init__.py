@@ -6,6 +6,7 @@ import csv
 import hashlib
 import json
 import os
+import uuid
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,33 @@ ITEMS = T.StructType([T.StructField("item_id", T.IntegerType(), False), T.Struct
 RELEVANCE = T.StructType([T.StructField("item_id", T.IntegerType(), False), T.StructField("tag_id", T.IntegerType(), False), T.StructField("relevance", T.DoubleType())])
 
 
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that all machines share: the session's spark.checkpoint.dir or the
+    context's checkpoint folder; on a single machine without either, a local one."""
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not root:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
+        root = "file:///tmp/checkpoints/tidemark-core"
+    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    where, fs = _file_system(spark, path)
+    fs.deleteOnExit(where)
+    return path
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df, written once to the shared folder and read back: what is read outlives any executor."""
+    path = shared_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A CSV file with a header and doubled quotes; a malformed row fails the read. The given
     schema saves the pass that inference needs."""
@@ -89,6 +117,22 @@ def replace_rows(existing: DataFrame, new: DataFrame, key: str, value: object) -
     return existing.where(~F.col(key).eqNullSafe(F.lit(value))).unionByName(new)
 
 
+def replace_key(spark: SparkSession, path: str, new: DataFrame, key: str, value: object) -> None:
+    """In the table at path, put new in the place of the rows of that key: a new table is written
+    beside the old one, which it may read, and then takes its name. A missing table is empty."""
+    where, fs = _file_system(spark, path)
+    part, old = f"{path.rstrip('/')}.part", f"{path.rstrip('/')}.old"
+    if fs.exists(where):
+        new = replace_rows(spark.read.schema(new.schema).parquet(path), new, key, value)
+    new.write.mode("overwrite").parquet(part)
+    aside = _file_system(spark, old)[0]
+    if fs.exists(where):
+        fs.delete(aside, True)
+        fs.rename(where, aside)
+    fs.rename(_file_system(spark, part)[0], where)
+    fs.delete(aside, True)
+
+
 def write_json_atomic(value: object, path: str) -> None:
     """Readers see the old file or the new one, never half of it."""
     with _replacing(path) as file:
