@@ -210,3 +210,47 @@ def test_queries_equal_sql(spark, sf_dir, name):
     names = [c[0] for c in rel.description]
     want = sorted((tuple(map(str, r)) for r in rel.fetchall()))
     assert sorted(tuple(str(r[c]) for c in names) for r in df.collect()) == want and want
+
+
+def test_requests_read_one_bucket_once(spark, tmp_path):
+    train = spark.createDataFrame(fixtures.log(), fixtures.COLUMNS)
+    items = spark.createDataFrame(fixtures.items(), "item_id long, title string, genres string")
+    scores = mo.popularity(mo.likes(train), items)
+    seen = train.select("user_id", "item_id").distinct()
+    folder = str(tmp_path / "bundle")
+    export_bundle(folder, {"profiles": profiles(train), "popular": mo.popular_list(scores, 100), "seen": seen}, {"n": 1}, users_a_bucket=2)
+    service = Recommender(spark, folder)
+    assert service.warm_up() == 1 + 2 * 5  # nine users in five buckets
+    want = {r.user_id: [] for r in seen.collect()}
+    for r in sorted(recommend_all(seen.select("user_id").distinct(), train, scores, 6).collect(), key=lambda r: r["rank"]):
+        want[r.user_id].append(r.item_id)
+    service.spark = None
+    service._bundle = lambda: service._manifest  # no job from here on
+    for user, own in want.items():
+        assert service.recommend(user, 6) == {"user_id": user, "strategy": "popular", "items": own} and service.profile(user)["known"]
+    again = Recommender(spark, folder, keep=2)
+    assert again.recommend(1, 6)["items"] == want[1] and len(again._kept) == 2
+    export_bundle(folder, {"profiles": profiles(train), "popular": mo.popular_list(scores, 1)}, {"n": 2})
+    assert again.recommend(1, 6)["items"] == [mo.popular_list(scores, 1).first().item_id] and again.health()["about"] == {"n": 2}
+
+
+def test_two_stages(spark):
+    from tidemark.operators import evaluation as ev
+    from tidemark.operators import ranking as rk
+    from tidemark.operators.splits import build_splits
+    from tidemark.plans.two_stage import TwoStage
+
+    splits = build_splits(spark.createDataFrame(fixtures.log(), fixtures.COLUMNS)).cache()
+    items = spark.createDataFrame(fixtures.items(), "item_id long, title string, genres string")
+    relevance = spark.createDataFrame([(i, t, (i * 7 + t * 3) % 11 / 11 + 0.1) for i in range(1, 26) for t in range(6)], "item_id long, tag_id long, relevance double")
+    chain = TwoStage(retriever={"dim": 8, "epochs": 2, "cap": 5, "uniform": 4}, ranker={"rounds": 3}, lam=5.0, min_positives=1, candidates=15).fit(splits, items, relevance)
+    assert chain.model.features == rk.HEADLINE and len(rk.HEADLINE) == 15
+    data = ev.eval_data(splits)
+    scores = chain.scores(data.population).cache()
+    per = scores.groupBy("user_id").count().collect()
+    assert len(per) == data.population.count() and all(r["count"] <= 15 for r in per)
+    assert scores.join(data.seen, ["user_id", "item_id"]).count() == 0
+    row = ev.evaluate(scores, data, ev.negatives(data, 3), catalog=items.select("item_id")).first()
+    assert row.n_users == len(per) and 0 <= row.recall <= 1
+    top = chain.recommend(data.population, 5)
+    assert top.groupBy("user_id").count().where("count > 5").count() == 0

@@ -164,3 +164,67 @@ def test_feature_tables(context):
     assert genres.where("share <= 0 or share > 1 or genre like '%no genres%'").count() == 0
     vectors = fe.content_vectors(context.train.sparkSession.createDataFrame([(1, 3, 0.3), (1, 1, 0.1), (1, 2, 0.2), (2, 2, 0.9), (2, 1, 0.8), (2, 3, 0.7)], "item_id long, tag_id long, relevance double"))
     assert {r.item_id: r.vector for r in vectors.collect()} == {1: [0.1, 0.2, 0.3], 2: [0.8, 0.9, 0.7]}
+
+
+def loss_by_hand(model, w, bags, targets, log_q, extra, pool):
+    """The mean loss, one row and one logit after the other."""
+    unit = lambda x: x / np.linalg.norm(x)
+    total = 0.0
+    for r, target in enumerate(targets):
+        own = [w["e"][b] for b in bags[r] if b != len(w["e"]) - 1]
+        mean = np.mean(own, axis=0)
+        u = unit(mean + np.maximum(mean @ w["w1"] + w["b1"], 0) @ w["w2"] + w["b2"])
+        logits = [u @ unit(w["e"][t]) / model.temperature - log_q[t] for c, t in enumerate(targets) if c == r or t != target]
+        logits += [u @ unit(w["e"][t]) / model.temperature + np.log(pool) for t in extra if t != target]
+        mine = u @ unit(w["e"][target]) / model.temperature - log_q[target]
+        total += np.log(np.sum(np.exp(logits))) - mine
+    return total / len(targets)
+
+
+def test_two_tower_loss_with_uniform_negatives():
+    model = TwoTower(dim=4, hidden=3, history=3)
+    rng = np.random.default_rng(3)
+    n = 10
+    w = {"e": rng.normal(size=(n + 1, 4)), "w1": rng.normal(size=(4, 3)), "b1": rng.normal(size=3), "w2": rng.normal(size=(3, 4)), "b2": rng.normal(size=4)}
+    bags, targets, log_q, extra = rng.integers(0, n, (6, 3)), np.array([1, 3, 1, 5, 7, 3]), rng.normal(size=n), np.array([2, 3, 9])
+    bags[0, 2] = n
+    for more in (extra, extra[:0]):
+        value, grads = model.loss(w, bags, targets, log_q, more, 8)
+        assert math.isclose(value, loss_by_hand(model, w, bags, targets, log_q, more, 8))
+        for name, x in w.items():
+            for spot in list(np.ndindex(x.shape))[:: max(1, x.size // 9)]:
+                if name == "e" and spot[0] == n:
+                    continue
+                ends = []
+                for step in (1e-6, -1e-6):
+                    moved = {k: v.copy() for k, v in w.items()}
+                    moved[name][spot] += step
+                    ends.append(loss_by_hand(model, moved, bags, targets, log_q, more, 8))
+                assert math.isclose((ends[0] - ends[1]) / 2e-6, grads[name][spot], rel_tol=1e-3, abs_tol=1e-6)
+
+
+def test_each_epoch_draws_anew_and_parts_hold_all_pairs(spark, context, monkeypatch, tmp_path):
+    from tidemark.plans import retriever
+
+    pairs = sq.training_pairs(sq.sequences(context.train), 3).cache()
+    drawn = []
+    monkeypatch.setattr(TwoTower, "log_q", lambda self, d, own=TwoTower.log_q: drawn.append({(r.user_id, r.pos) for r in d.collect()}) or own(self, d))
+    model = TwoTower(dim=4, hidden=3, epochs=3, batch=8, history=3, cap=2, uniform=3).fit(pairs, seed=1)
+    assert len(drawn) == 3 and drawn[0] != drawn[1] and all(sum(u == 1 for u, _ in d) <= 2 for d in drawn)
+    monkeypatch.setattr(retriever, "PART_PAIRS", 7)
+    parts = list(model.batches(pairs, 5, 1))
+    whole = next(model.batches(pairs, 1, 1))
+    assert len(parts) > 1 and sorted(t for _, ts in parts for t in ts) == sorted(whole[1])
+    a, b = TwoTower(dim=4, hidden=3, epochs=2, batch=8, history=3).fit(pairs, seed=1), TwoTower(dim=4, hidden=3, epochs=2, batch=8, history=3).fit(pairs.repartition(3), seed=1)
+    assert np.allclose(a.item_vectors(), b.item_vectors())
+    a.save(str(tmp_path / "m.npz"))
+    TwoTower.load(str(tmp_path / "m.npz"), pairs=pairs)
+    with pytest.raises(ValueError):
+        TwoTower.load(str(tmp_path / "m.npz"), pairs=pairs.withColumn("target", F.col("target") + F.when(F.col("pos") == 1, 1).otherwise(0)))
+
+
+def test_trees_draw_their_features():
+    model = LambdaMart(["a", "b", "c", "d", "e"], seed=3)
+    drawn = [tuple(model._drawn(n)) for n in range(20)]
+    assert all(len(d) == 8 and d[4:] == tuple(i + 5 for i in d[:4]) for d in drawn) and len(set(drawn)) > 1
+    assert drawn == [tuple(model._drawn(n)) for n in range(20)] and LambdaMart(["a"], fraction=0.1)._drawn(0) == [0, 1]

@@ -47,3 +47,8 @@ def norm(a: Column) -> Column:
 def safe_run_id(run_id: str) -> str:
     """Only letters, digits, _ and -: what may stand in a folder's name."""
     return "".join(c if c.isascii() and (c.isalnum() or c in "_-") else "_" for c in run_id)
+
+
+def safe_run_id_column(run_id: Column) -> Column:
+    """safe_run_id() of a column."""
+    return F.regexp_replace(run_id, "[^A-Za-z0-9_-]", "_")

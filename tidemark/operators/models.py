@@ -227,11 +227,7 @@ def dense_top_k(history: DataFrame, weights: DataFrame, seen: DataFrame, k: int
     spark = history.sparkSession
     if weights.select("i").union(weights.select("j")).distinct().limit(MAX_DENSE + 1).count() > MAX_DENSE:
         raise ValueError(f"more than {MAX_DENSE} items")
-    rows = weights.toPandas()
-    ids = np.unique(np.concatenate([rows["i"].to_numpy(), rows["j"].to_numpy()]))
-    matrix = np.zeros((len(ids), len(ids)))
-    matrix[np.searchsorted(ids, rows["i"]), np.searchsorted(ids, rows["j"])] = rows["s"]
-    shared = spark.sparkContext.broadcast((ids, matrix))
+    shared = spark.sparkContext.broadcast(_matrix(weights))
     users = history.groupBy("user_id").agg(F.sort_array(F.collect_set("item_id")).alias("own"))
     users = users.join(seen.groupBy("user_id").agg(F.sort_array(F.collect_set("item_id")).alias("seen")), "user_id", "left")
 
@@ -254,6 +250,41 @@ def dense_top_k(history: DataFrame, weights: DataFrame, seen: DataFrame, k: int
     return users.mapInPandas(score, "user_id long, item_id long, score double, rank long")
 
 
+def ease_pair_scores(history: DataFrame, weights: DataFrame, pairs: DataFrame) -> DataFrame:
+    """user_id, item_id, score of the given pairs alone: sums of weights over a user's history.
+    Items without weights can't be scored, and are absent."""
+    spark = history.sparkSession
+    own = history.groupBy("user_id").agg(F.collect_set("item_id").alias("own"))
+    known = weights.select(F.col("j").alias("item_id")).distinct()
+    asked = pairs.select("user_id", "item_id").distinct()
+    if known.limit(MAX_DENSE + 1).count() > MAX_DENSE:
+        rows = asked.join(history.select("user_id", F.col("item_id").alias("i")), "user_id").join(weights, (F.col("item_id") == F.col("j")) & (weights["i"] == F.col("i")))
+        sums = rows.groupBy("user_id", "item_id").agg(F.sum("s").alias("score"))
+        zero = asked.join(known, "item_id", "left_semi").join(history.select("user_id").distinct(), "user_id", "left_semi")
+        return zero.join(sums, ["user_id", "item_id"], "left").select("user_id", "item_id", F.coalesce("score", F.lit(0.0)).alias("score"))
+    shared = spark.sparkContext.broadcast(_matrix(weights))
+    lists = asked.groupBy("user_id").agg(F.collect_list("item_id").alias("asked")).join(own, "user_id")
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, matrix = shared.value
+        for batch in batches:
+            for user, asked, own in zip(batch["user_id"], batch["asked"], batch["own"], strict=True):
+                asked = asked[np.isin(asked, ids)]
+                row = matrix[np.searchsorted(ids, own[np.isin(own, ids)])][:, np.searchsorted(ids, asked)].sum(0)
+                yield pd.DataFrame({"user_id": np.full(len(asked), user), "item_id": asked, "score": row})
+
+    return lists.select("user_id", "asked", "own").mapInPandas(score, "user_id long, item_id long, score double")
+
+
+def _matrix(weights: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The items of weights, and the weights as a dense matrix."""
+    rows = weights.toPandas()
+    ids = np.unique(np.concatenate([rows["i"].to_numpy(), rows["j"].to_numpy()]))
+    matrix = np.zeros((len(ids), len(ids)))
+    matrix[np.searchsorted(ids, rows["i"]), np.searchsorted(ids, rows["j"])] = rows["s"]
+    return ids, matrix
+
+
 # ---- implicit ALS
 
 def als_factors(liked: DataFrame, rank: int = 8, reg: float = 0.1, alpha: float = 5.0, max_iter: int = 5, seed: int = 42):

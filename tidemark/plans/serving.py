@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import json
-import os
-from dataclasses import dataclass
+from collections import OrderedDict
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,9 +12,11 @@ from ..functions import key_hash
 from ..operators.evaluation import K
 from ..operators.models import likes, popular_top_k, recent_history
 from ..operators.splits import positive
-from ..sources import write_json_atomic
+from ..sources import get_json, put_json, remove, written_at
 
 MAX_K, MAX_PROFILE = 100, 50
+#: Users whose rows a request reads at once.
+USERS_A_BUCKET = 20_000
 
 
 def recommend_all(users: DataFrame, train: DataFrame, scores: DataFrame, k: int = K) -> DataFrame:
@@ -41,13 +42,25 @@ def profiles(train: DataFrame, n: int = MAX_PROFILE) -> DataFrame:
     return counts.join(last, "user_id", "left").withColumn("items", F.coalesce("items", F.array().cast("array<bigint>")))
 
 
-def export_bundle(folder: str, tables: dict[str, DataFrame], about: dict[str, object]) -> None:
-    """The tables as Parquet, and a manifest of their schemas, row counts and origin, written last."""
+def export_bundle(folder: str, tables: dict[str, DataFrame], about: dict[str, object], users_a_bucket: int = USERS_A_BUCKET) -> None:
+    """The tables as Parquet, and a manifest of their schemas, row counts, buckets and origin, written last.
+
+    Tables with a user_id are laid out in buckets of users, so that a request reads one of them.
+    """
     rows = {}
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{folder}/{name}")
-        rows[name] = {"columns": dict(df.dtypes), "rows": df.sparkSession.read.parquet(f"{folder}/{name}").count()}
-    write_json_atomic({"tables": rows, "about": about}, f"{folder}/manifest.json")
+        spark, path = df.sparkSession, f"{folder}/{name}"
+        df.write.mode("overwrite").parquet(f"{path}.part" if "user_id" in df.columns else path)
+        told = {"columns": dict(df.dtypes)}
+        if "user_id" in df.columns:
+            own = spark.read.schema(df.schema).parquet(f"{path}.part")
+            buckets = max(1, -(-own.select("user_id").distinct().count() // users_a_bucket))
+            own = own.withColumn("__bucket", F.pmod("user_id", F.lit(buckets)))
+            own.repartition(buckets, "__bucket").write.mode("overwrite").partitionBy("__bucket").parquet(path)
+            remove(spark, f"{path}.part")
+            told["buckets"] = buckets
+        rows[name] = told | {"rows": spark.read.schema(df.schema).parquet(path).count()}
+    put_json(spark, {"tables": rows, "about": about}, f"{folder}/manifest.json")
 
 
 class NotReady(LookupError):
@@ -60,44 +73,80 @@ class OutOfRange(ValueError):
 
 @dataclass
 class Recommender:
-    """Requests against a bundle with the tables recommendations and profiles."""
+    """Requests against a bundle with the tables recommendations, profiles, popular and, where users
+    may be known but not ranked, seen. A bucket of users is read by Spark once and then kept, the
+    last `keep` of them: a request for a kept bucket starts no job. A bundle that is written
+    anew is noticed by its manifest."""
 
     spark: SparkSession
     folder: str | None
-
-    def _table(self, name: str) -> DataFrame:
-        if not self.folder or not os.path.exists(f"{self.folder}/manifest.json"):
+    keep: int = 64
+    _at: int | None = None
+    _manifest: dict | None = None
+    _kept: OrderedDict = field(default_factory=OrderedDict)
+
+    def _bundle(self) -> dict:
+        at = written_at(self.spark, f"{self.folder}/manifest.json") if self.folder else None
+        if at is None:
             raise NotReady("no bundle")
-        return self.spark.read.parquet(f"{self.folder}/{name}")
+        if at != self._at:
+            self._manifest, self._at = get_json(self.spark, f"{self.folder}/manifest.json"), at
+            self._kept.clear()
+        return self._manifest
+
+    def _rows(self, name: str, bucket: int | None = None) -> dict[int | None, list]:
+        """Rows by user of a bucket, or all rows of a small table under None."""
+        if (name, bucket) not in self._kept:
+            df = self.spark.read.parquet(f"{self.folder}/{name}")
+            found: dict[int | None, list] = {}
+            for r in (df if bucket is None else df.where(F.col("__bucket") == bucket)).collect():  # of a bounded number of users
+                found.setdefault(None if bucket is None else r["user_id"], []).append(r)
+            self._kept[name, bucket] = found
+            while len(self._kept) > self.keep:
+                self._kept.popitem(last=False)
+        self._kept.move_to_end((name, bucket))
+        return self._kept[name, bucket]
+
+    def _of(self, name: str, user_id: int) -> list:
+        told = self._bundle()["tables"].get(name)
+        return self._rows(name, user_id % told["buckets"]).get(user_id, []) if told else []
+
+    def warm_up(self) -> int:
+        """Read the popular list and as many buckets as are kept before the first request; how many."""
+        tables = self._bundle()["tables"]
+        wanted = [("popular", None), *[(n, b) for n, t in sorted(tables.items()) for b in range(t.get("buckets", 0))]]
+        for name, bucket in wanted[: self.keep]:
+            self._rows(name, bucket)
+        return len(self._kept)
 
     def health(self) -> dict[str, object]:
         try:
-            self._table("recommendations")
+            return {"status": "ok", "about": self._bundle()["about"]}
         except NotReady:
             return {"status": "no bundle"}
-        with open(f"{self.folder}/manifest.json", encoding="utf-8") as file:
-            return {"status": "ok", "about": json.load(file)["about"]}
 
     def recommend(self, user_id: int, k: int = K) -> dict[str, object]:
         if not 1 <= k <= MAX_K:
             raise OutOfRange(f"k must be from 1 to {MAX_K}")
-        rows = self._table("recommendations").where((F.col("user_id") == user_id) & (F.col("rank") <= k)).orderBy("rank").collect()
+        rows = sorted((r for r in self._of("recommendations", user_id) if r["rank"] <= k), key=lambda r: r["rank"])
         if rows:
             return {"user_id": user_id, "strategy": rows[0]["strategy"], "items": [r["item_id"] for r in rows]}
-        rows = self._table("popular").orderBy("place").limit(k).collect()
-        return {"user_id": user_id, "strategy": "popular", "items": [r["item_id"] for r in rows]}
+        seen = {r["item_id"] for r in self._of("seen", user_id)}
+        popular = sorted(self._rows("popular").get(None, []), key=lambda r: r["place"])
+        return {"user_id": user_id, "strategy": "popular", "items": [r["item_id"] for r in popular if r["item_id"] not in seen][:k]}
 
     def profile(self, user_id: int, n: int = 10) -> dict[str, object]:
         if not 1 <= n <= MAX_PROFILE:
             raise OutOfRange(f"n must be from 1 to {MAX_PROFILE}")
-        rows = self._table("profiles").where(F.col("user_id") == user_id).collect()
+        rows = self._of("profiles", user_id)
         if not rows:
             return {"user_id": user_id, "known": False, "n_ratings": 0, "n_positives": 0, "items": []}
         return {"user_id": user_id, "known": True, "n_ratings": rows[0]["n_ratings"], "n_positives": rows[0]["n_positives"], "items": rows[0]["items"][:n]}
 
     def sample_user(self, seed: int = 0) -> int:
         """A known user with history."""
-        rows = self._table("profiles").where("n_positives > 0").orderBy(key_hash(seed, "user_id"), "user_id").limit(1).collect()
+        self._bundle()
+        rows = self.spark.read.parquet(f"{self.folder}/profiles").where("n_positives > 0").orderBy(key_hash(seed, "user_id"), "user_id").limit(1).collect()
         if not rows:
             raise NotReady("no user has a history")
         return rows[0]["user_id"]

@@ -39,6 +39,11 @@ def _file_system(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    where, fs = _file_system(spark, path)
+    fs.delete(where, True)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """df, written once to the shared folder and read back: what is read outlives any executor."""
     path = shared_path(df.sparkSession, label)
@@ -139,6 +144,34 @@ def write_json_atomic(value: object, path: str) -> None:
         json.dump(value, file, indent=2, sort_keys=True)
 
 
+def put_json(spark: SparkSession, value: object, path: str) -> None:
+    """write_json_atomic() to whatever store Spark reaches."""
+    where, fs = _file_system(spark, path)
+    part = _file_system(spark, f"{path}.part")[0]
+    out = fs.create(part, True)
+    try:
+        out.write(bytearray(json.dumps(value, indent=2, sort_keys=True).encode()))
+    finally:
+        out.close()
+    if not fs.rename(part, where):  # some stores don't replace by renaming
+        fs.delete(where, False)
+        fs.rename(part, where)
+
+
+def get_json(spark: SparkSession, path: str) -> object | None:
+    """The value of put_json(); None without a file."""
+    where, fs = _file_system(spark, path)
+    if not fs.exists(where):
+        return None
+    return json.loads("\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect()))
+
+
+def written_at(spark: SparkSession, path: str) -> int | None:
+    """When a file was last written; None without one."""
+    where, fs = _file_system(spark, path)
+    return fs.getFileStatus(where).getModificationTime() if fs.exists(where) else None
+
+
 class _replacing:
     def __init__(self, path: str) -> None:
         self.path, self.part = path, f"{path}.part"
