@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, quoted, small_side, table
+from tidemark.llm.common import discard, materialize, quoted, small_side, table
 from tidemark.llm.decontaminate import drop_contaminated
 from tidemark.llm.lines import dedup_lines
 from tidemark.llm.neardup import near_duplicates
@@ -90,10 +90,16 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str, stages: list = STAGES) -> DataFrame:
     """All stages over the documents of sf_dir."""
-    docs = table(spark, sf_dir, "documents")
+    docs, earlier = table(spark, sf_dir, "documents"), None
     for name, stage in stages[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return stages[-1][1](spark, docs, sf_dir)
+        if earlier is not None:
+            discard(earlier)
+        earlier = docs
+    out = stages[-1][1](spark, docs, sf_dir)
+    # Packing has written its pieces, and reads the documents no more.
+    discard(docs)
+    return out
 
 
 def run_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
