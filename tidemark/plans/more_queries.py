@@ -290,10 +290,11 @@ def bundle_manifest(spark, d):
     return spark.createDataFrame([(n, t["rows"], ", ".join(f"{c} {k}" for c, k in sorted(t["columns"].items()))) for n, t in told.items()], "name string, n bigint, columns string")
 
 
-@query(q(o.SPLITS, o.train(), o.POPULAR, "asked AS (SELECT DISTINCT user_id FROM train WHERE user_id % 50 = 1 UNION ALL SELECT -1)", "pop AS (SELECT user_id FROM asked)", "seen AS (SELECT DISTINCT user_id, item_id FROM train)",
+@query(q(o.SPLITS, o.train(), o.POPULAR, "pop AS (SELECT n_nationkey::BIGINT AS user_id FROM nation)", "seen AS (SELECT DISTINCT user_id, item_id FROM train)",
     "pop_scores AS (SELECT user_id, item_id, score FROM pop CROSS JOIN pop_score)", o.top("pop_scores"), select="SELECT user_id, item_id, rank FROM top"))
 def served_requests(spark, d):
-    """Answers to single requests, from a bundle that has no ranked rows: what is popular and unseen."""
+    """Answers to single requests, from a bundle that has no ranked rows: what is popular and unseen.
+    The requests are the keys of the table nation, some of known users."""
     from .serving import MAX_K, Recommender, export_bundle, profiles
 
     data = Data(spark, d)
@@ -304,7 +305,7 @@ def served_requests(spark, d):
     export_bundle(folder, {"seen": seen, "profiles": profiles(train), "popular": mo.popular_list(data.popular(), most + MAX_K)}, {"origin": "test"})
     service = Recommender(spark, folder)
     service.warm_up()
-    asked = sorted(r[0] for r in seen.select("user_id").distinct().where("user_id % 50 = 1").collect()) + [-1]  # requests, one after the other
+    asked = [r[0] for r in spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey").collect()]  # requests, one after the other
     rows = [(u, i, n + 1) for u in asked for n, i in enumerate(service.recommend(u)["items"])]
     return spark.createDataFrame(rows, "user_id bigint, item_id bigint, rank bigint")
 
