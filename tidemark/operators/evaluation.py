@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import first_per_group, gain, ideal_gain, key_hash
+from ..sources import written
 from .splits import positive
 
 K, NEGATIVES, NEGATIVE_SEED = 10, 100, 20260922
@@ -54,7 +55,8 @@ def numbered(items: DataFrame) -> DataFrame:
     """item_id, place: places from 0 in order of item_id, without gathering rows in one task."""
     spark = items.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "8")))
-    dealt = items.select("item_id").distinct().repartitionByRange(parts, "item_id").withColumn("part", F.spark_partition_id()).cache()
+    # Written, so that every later use sees the same ranges.
+    dealt = written(items.select("item_id").distinct().repartitionByRange(parts, "item_id").withColumn("part", F.spark_partition_id()), "places")
     sizes = {r["part"]: r["count"] for r in dealt.groupBy("part").count().collect()}  # one number a partition
     before, offsets = 0, []
     for part in sorted(sizes):
@@ -72,7 +74,7 @@ def negatives(data: EvalData, n: int = NEGATIVES, seed: int = NEGATIVE_SEED) ->
     each place once, and takes the first n that count: the work is n plus the user's ratings, not
     the catalogue, and the draw depends on seed and user alone. The job fails if a user has fewer.
     """
-    pool = numbered(data.train_items).cache()
+    pool = written(numbered(data.train_items), "pool")
     size = pool.count()
     prime = prime_from(size)
     rated = data.ever_rated.groupBy("user_id").agg(F.count("*").alias("rated"))

@@ -18,6 +18,8 @@ from .splits import positive
 MAX_DENSE = 4_000
 #: Items on a side of a block, of a user's positives and of a dense matrix.
 BLOCK = 1_000
+#: Rows of a few numbers that are broadcast at most.
+BROADCAST_ROWS = 1_000_000
 
 
 def likes(train: DataFrame) -> DataFrame:
@@ -47,6 +49,8 @@ def popular_top_k(scores: DataFrame, users: DataFrame, seen: DataFrame, k: int =
     counts = users.select("user_id").join(seen.groupBy("user_id").agg(F.count("*").alias("n")), "user_id", "left").select("user_id", F.coalesce("n", F.lit(0)).alias("n"))
     most = (counts.agg(F.max("n")).first()[0] or 0) + k
     listed = popular_list(scores, most)
+    # Everyone starts with the same places: the list travels where its length, which is known, allows.
+    listed = F.broadcast(listed) if most <= BROADCAST_ROWS else listed
     walk = counts.select("user_id", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n") + k)).alias("place")).join(listed, "place")
     open_ = walk.join(seen, ["user_id", "item_id"], "left_anti")
     return first_per_group(open_, ["user_id"], [F.col("place")], k).select("user_id", "item_id", "score", "rank")

@@ -67,11 +67,13 @@ def genre_features(cands: DataFrame, train: DataFrame, items: DataFrame) -> Data
 def profiles(history: DataFrame, unit: DataFrame) -> DataFrame:
     """user_id, profile: the sum of the unit vectors of a history, at length 1; items without one don't count.
 
-    Vectors are summed place by place, with partial sums in each task, and put together once a user.
+    Vectors of one length are summed whole, with a partial sum in each task.
     """
-    parts = history.join(unit, "item_id").select("user_id", F.posexplode("vector").alias("at", "x"))
-    sums = parts.groupBy("user_id", "at").agg(F.sum("x").alias("x"))
-    whole = sums.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("at", "x"))).getField("x").alias("vector"))
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    parts = history.join(unit, "item_id").select("user_id", array_to_vector("vector").alias("v"))
+    whole = parts.groupBy("user_id").agg(vector_to_array(Summarizer.sum(F.col("v"))).alias("vector"))
     return unit_vectors(whole).withColumnRenamed("vector", "profile")
 
 
