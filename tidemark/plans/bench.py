@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,10 +31,12 @@ def feature_pipeline(ratings: DataFrame, items: DataFrame, out: str) -> None:
     """Splits and the features of train, written as four Parquet tables.
 
     The splits are dealt by user: user features and shares take their partitioning, so only the
-    items are shuffled again. Features read the splits back, which cuts the lineage.
+    items are shuffled again. Features read the splits back, which cuts the lineage. Their three
+    tables are independent jobs, handed to the scheduler together.
     """
     spark = ratings.sparkSession
     per_user_split(ratings).select("user_id", "item_id", "rating", "ts", "split_user", "train_part").write.mode("overwrite").parquet(f"{out}/splits")
     train = training_set(spark.read.parquet(f"{out}/splits"), "train")
-    for name, df in feature_tables(train, items).items():
-        df.write.mode("overwrite").parquet(f"{out}/{name}")
+    tables = feature_tables(train, items)
+    with ThreadPoolExecutor(len(tables)) as pool:
+        list(pool.map(lambda t: t[1].write.mode("overwrite").parquet(f"{out}/{t[0]}"), tables.items()))
