@@ -103,3 +103,40 @@ def test_digest_of_kept_text(documents):
     for r in dedup_lines(documents).where("__n_removed = 0").limit(5).collect():
         own = documents.where(F.col("doc_id") == r.doc_id).first()
         assert hashlib.sha256(r.text.encode()).digest() == hashlib.sha256(own.text.encode()).digest()
+
+
+def extended_pairs(rows, size=2, least=10):
+    """Pairs of equal lines at two positions, each extended both ways while lines stay equal: a later
+    run of enough lines goes where its windows have enough words."""
+    own = {i: [(p, x.strip(ENDS)) for p, x in enumerate((t or "").split("\n")) if x.strip(ENDS)] for i, t in rows}
+    at = {}
+    for i, lines in own.items():
+        for n, (_, s) in enumerate(lines):
+            at.setdefault(s, []).append((i, n))
+    gone = {i: set() for i in own}
+    for places in at.values():
+        for d, a in places:
+            for e, b in places:
+                if (d, a) >= (e, b):
+                    continue
+                lo = 0
+                while a - lo > 0 and b - lo > 0 and own[d][a - lo - 1][1] == own[e][b - lo - 1][1]:
+                    lo += 1
+                hi = 1
+                while a + hi < len(own[d]) and b + hi < len(own[e]) and own[d][a + hi][1] == own[e][b + hi][1]:
+                    hi += 1
+                run = own[e][b - lo : b + hi]
+                for n in range(len(run) - size + 1):
+                    if sum(len(words(s)) for _, s in run[n : n + size]) >= least:
+                        gone[e] |= {p for p, _ in run[n : n + size]}
+    return sorted(((i, None if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if p not in gone[i]), len(own[i]), len(gone[i])) for i, t in rows), key=str)
+
+
+def test_windows_are_the_matches_extended_both_ways(spark):
+    import random
+
+    rng = random.Random(6)
+    texts = [(i, "\n".join(rng.choice([f"{c} " * 6 for c in "abcde"] + ["short", "", "  "]) for _ in range(rng.randint(0, 14)))) for i in range(40)] + [(40, None)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    assert lines_result(dedup_lines(df)) == extended_pairs(texts)
+    assert lines_result(dedup_lines(df, 3, 1)) == extended_pairs(texts, 3, 1)

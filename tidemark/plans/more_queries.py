@@ -333,3 +333,104 @@ def history_pair_scores(spark, d):
     liked = mo.likes(data.train())
     weights = mo.knn_similarity(mo.item_gram(liked, 8), 20, 10.0)
     return mo.ease_pair_scores(liked, weights, cands).withColumn("score", F.round("score", 6))
+
+
+# ---- models, where SQL can say what must come out
+
+#: So large that EASE's weights are co-occurrence counts over it, to nine digits: scores are sums of counts.
+_LIMIT = 1e9
+
+
+def _limit_sql(history: str) -> str:
+    return q(o.SPLITS, o.evaluation(), o.train(), o.gram(10), f"hist AS ({history})",
+        "sums AS (SELECT u.user_id, k.item_id, coalesce(s, 0) AS score FROM (SELECT DISTINCT user_id FROM hist SEMI JOIN pop USING (user_id)) u CROSS JOIN kept k LEFT JOIN (SELECT h.user_id, g.j AS item_id, sum(g.n) AS s FROM hist h JOIN gram g ON h.item_id = g.i WHERE g.i <> g.j GROUP BY 1, 2) x ON x.user_id = u.user_id AND x.item_id = k.item_id)",
+        o.top("sums"), select="SELECT user_id, rank, score::BIGINT AS total FROM top")
+
+
+def _limit(spark, d, history):
+    data = Data(spark, d)
+    e = data.eval()
+    liked = mo.likes(data.train())
+    top = mo.ease_top_k(history(data, liked).join(e.population, "user_id", "left_semi"), mo.ease(mo.item_gram(liked, 10), _LIMIT), e.seen)
+    return top.select("user_id", "rank", F.round(F.col("score") * _LIMIT).cast("bigint").alias("total"))
+
+
+@query(_limit_sql("SELECT user_id, item_id FROM liked"))
+def ease_limit_scores(spark, d):
+    """EASE from weights to lists, in the limit where its scores are whole numbers."""
+    return _limit(spark, d, lambda data, liked: liked)
+
+
+@query(_limit_sql("SELECT user_id, item_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, item_id DESC) AS r FROM liked) WHERE r <= 10"))
+def ease_recent_limit_scores(spark, d):
+    """The same of each user's last ten positives."""
+    return _limit(spark, d, lambda data, liked: mo.recent_history(data.train(), 10))
+
+
+@query(q(o.SPLITS, o.train(), select="SELECT user_id, count(DISTINCT item_id) AS n FROM liked GROUP BY user_id"))
+def als_recovered_counts(spark, d):
+    """How many positives a user has, read off the fitted factors: a user's factor x solves
+    (Y'Y + alpha * sum y y' + reg * n * I) x = (1 + alpha) * sum y over the n liked items' factors y."""
+    import numpy as np
+    import pandas as pd
+
+    reg, alpha = 0.1, 5.0
+    liked = mo.likes(Data(spark, d).train())
+    model = mo.als_factors(liked, reg=reg, alpha=alpha)
+    items = written(model.itemFactors.select(F.col("id").cast("bigint").alias("item_id"), F.col("features").alias("y")), "als-items")
+    cells = items.select(F.posexplode("y").alias("a", "p"), "y").select("a", "p", F.posexplode("y").alias("b", "q")).groupBy("a", "b").agg(F.sum(F.col("p") * F.col("q")).alias("g"))
+    gram = np.zeros((model.rank, model.rank))
+    for r in cells.collect():  # rank times rank numbers
+        gram[r["a"], r["b"]] = r["g"]
+    own = liked.join(items, "item_id").groupBy("user_id").agg(F.flatten(F.collect_list("y")).alias("ys"))
+    users = model.userFactors.select(F.col("id").cast("bigint").alias("user_id"), F.col("features").alias("x")).join(own, "user_id")
+
+    def count(batches):
+        for batch in batches:
+            out = []
+            for x, ys in zip(batch["x"], batch["ys"], strict=True):
+                x, y = np.asarray(x, float), np.asarray(ys, float).reshape(-1, len(x))
+                rest = (1 + alpha) * y.sum(0) - gram @ x - alpha * y.T @ (y @ x)
+                out.append(round(float(rest @ x / (reg * (x @ x)))))
+            yield pd.DataFrame({"user_id": batch["user_id"], "n": out})
+
+    return users.mapInPandas(count, "user_id bigint, n bigint")
+
+
+@query(q(o.SPLITS, o.evaluation(), o.train(), "e AS (SELECT p_partkey AS item_id, cos(p_partkey * (0.7 + p_partkey * 0.0001)) AS x, sin(p_partkey * (0.7 + p_partkey * 0.0001)) AS y FROM part)",
+    "hist AS (SELECT user_id, item_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, item_id DESC) AS r FROM liked) WHERE r <= 10)",
+    "u AS (SELECT user_id, avg(x) AS x, avg(y) AS y FROM hist JOIN e USING (item_id) SEMI JOIN pop USING (user_id) GROUP BY user_id)",
+    "sims AS (SELECT u.user_id, e.item_id, (u.x * e.x + u.y * e.y) / sqrt(u.x * u.x + u.y * u.y) AS score FROM u, e)", o.top("sims"), select="SELECT user_id, item_id, rank, round(score, 6) AS score FROM top"))
+def retrieved_by_direction(spark, d):
+    """The retriever's scoring of the whole catalogue, of a model whose embeddings are directions in a plane."""
+    import numpy as np
+
+    from .retriever import TwoTower
+
+    data = Data(spark, d)
+    e = data.eval()
+    model = TwoTower(dim=2, hidden=1)
+    model.items = np.array(sorted(r[0] for r in data.catalog.distinct().collect()), np.int64)
+    angle = model.items * (0.7 + model.items * 0.0001)  # no two items lie alike on both sides of a third
+    plane = np.stack([np.cos(angle), np.sin(angle)], axis=1)
+    model.weights = {"e": np.concatenate([plane, np.zeros((1, 2))]), "w1": np.zeros((2, 1)), "b1": np.zeros(1), "w2": np.zeros((1, 2)), "b2": np.zeros(2)}
+    return model.top_k(data.train(), e.population, e.seen).withColumn("score", F.round("score", 6))
+
+
+_GAIN = "CASE WHEN rank <= 10 THEN 1 / log2(rank + 1) ELSE 0 END"
+
+
+@query(q(*_CAND[:4], o.POPULAR, "own_seen AS (SELECT DISTINCT user_id, item_id FROM train)", "pop_scores AS (SELECT user_id, item_id, score FROM pop CROSS JOIN pop_score)", o.top("pop_scores", rk.CANDIDATES, "cand", "own_seen"),
+    f"s AS (SELECT c.user_id, c.item_id, (r.item_id IS NOT NULL)::INT AS label, {o.H('9', 'c.user_id', 'c.item_id')} / 4294967296 AS score FROM cand c LEFT JOIN relevant r ON r.user_id = c.user_id AND r.item_id = c.item_id)",
+    f"l AS (SELECT *, {_GAIN} AS g FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank, sum(label) OVER (PARTITION BY user_id) AS n FROM s))",
+    """w AS (SELECT p.user_id, p.item_id AS pi, t.item_id AS ti, abs(p.g - t.g) / list_sum(list_transform(range(1, least(p.n, 10)::BIGINT + 1), lambda r: 1 / log2(r + 1))) AS sw, 1 / (1 + exp(p.score - t.score)) AS rho
+FROM l p JOIN l t ON p.user_id = t.user_id WHERE p.label = 1 AND t.label = 0)""",
+    "x AS (SELECT user_id, pi AS item_id, sw * rho AS d, sw * rho * (1 - rho) AS h FROM w UNION ALL SELECT user_id, ti, -sw * rho, sw * rho * (1 - rho) FROM w)",
+    select="SELECT user_id, item_id, label, round(coalesce(sum(d), 0), 9) + 0.0 AS grad, round(coalesce(sum(h), 0), 9) AS hess FROM (SELECT * FROM l WHERE n > 0) LEFT JOIN x USING (user_id, item_id) GROUP BY user_id, item_id, label"))
+def lambda_gradients(spark, d):
+    """What the boosted trees are fitted to: gradients and curvatures of the pairwise, NDCG-weighted loss."""
+    from .ranker import lambdas
+
+    _, e, cands = _candidates(spark, d, rk.CANDIDATES)
+    rows = rk.labelled(cands, e.relevant).select("user_id", "item_id", "label", (key_hash(9, "user_id", "item_id") / F.lit(float(1 << 32))).alias("score"))
+    return lambdas(rows).select("user_id", "item_id", "label", (F.round("grad", 9) + 0.0).alias("grad"), F.round("hess", 9).alias("hess"))
