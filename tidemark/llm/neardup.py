@@ -322,7 +322,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     dealt = dealt.withColumn("part", F.when(F.col("linked"), -1 - spread(F.col("close"))).otherwise(spread(F.col("far"))))
     others = F.when(F.col("linked"), upto(F.col("far"))).otherwise(F.concat(upto(F.col("far")), F.transform(upto(F.col("close")), lambda x: -1 - x)))
     dealt = dealt.withColumn("other", F.explode(others)).withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
-    inner = dealt.groupBy("pivot", "low", "high").applyInPandas(_tile(percent), "a long, b long")
+    # A table of its own: the next step is Python too, and would run beside this one in every task.
+    inner = materialize(dealt.groupBy("pivot", "low", "high").applyInPandas(_tile(percent), "a long, b long"), "inner-links", files_for(spark, n_docs))
     # A doc_id with several texts links their nodes.
     homes = materialize(full.select("doc_id", "digest").join(nodes.select("digest", "node"), "digest").groupBy("doc_id", "node").count().select("doc_id", "node"), "homes", files_for(spark, n_docs))
     ends = homes.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("last"))
@@ -333,7 +334,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     named = named.join(smallest, "label").select(F.col("node").alias("a"), "component_id")
     named = materialize(ends.select("doc_id", "a").join(named, "a").select("doc_id", "component_id"), "components", files_for(spark, n_docs))
-    discard(members, wanted, sets, tested, labels, nodes, homes)
+    discard(members, wanted, sets, tested, inner, labels, nodes, homes)
     out = scanned.select("doc_id", "n_shingles").join(named, "doc_id", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
