@@ -164,12 +164,12 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MI
     docs = docs.drop("__n_lines", "__n_removed")
     files = files_for(docs.sparkSession, 10 * docs.count())
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    marks = materialize(texts.mapInArrow(_marks(min_lines, min_words, runs), "mark long, doc_id long, n long"), "line-marks")
+    marks = materialize(texts.mapInArrow(_marks(min_lines, min_words, runs), "mark long, doc_id long, n long"), "line-marks", passes=2)
     recurring = materialize(marks.groupBy("mark").agg(F.sum("n").alias("n")).where("n > 1").select("mark"), "recurring", files)
-    own = materialize(marks.select("mark", "doc_id").join(recurring, "mark").groupBy("doc_id").agg(F.collect_set("mark").alias("marks")), "own-marks", files)
+    own = materialize(marks.select("mark", "doc_id").join(recurring, "mark").groupBy("doc_id").agg(F.collect_set("mark").alias("marks")), "own-marks", files, 2)
     windows = texts.join(own, "doc_id").select("doc_id", "text", "marks").mapInArrow(_windows(min_lines, min_words, runs), "window binary, doc_id long, place long")
     firsts = windows.groupBy("window").agg(F.min(F.struct("doc_id", "place")).alias("at"))
-    firsts = materialize(firsts.groupBy("at.doc_id").agg(F.collect_list("at.place").alias("firsts")), "firsts", files)
+    firsts = materialize(firsts.groupBy("at.doc_id").agg(F.collect_list("at.place").alias("firsts")), "firsts", files, 2)
     discard(marks, recurring)
     of_id, of_marks, of_firsts = (free_name(docs, n) for n in ("__id", "__marks", "__firsts"))
     notes = own.join(firsts, "doc_id", "left").select(F.col("doc_id").alias(of_id), F.col("marks").alias(of_marks), F.col("firsts").alias(of_firsts))
