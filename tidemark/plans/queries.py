@@ -15,7 +15,7 @@ from ..operators import ranking as rk
 from ..operators import sequences as sq
 from ..operators import splits as sp
 from ..operators import statistics as st
-from ..sources import replace_rows, views
+from ..sources import replace_rows, views, written_at
 from . import oracles as o
 from .oracles import q
 
@@ -39,8 +39,11 @@ class Data:
     _last: tuple | None = None
 
     def __new__(cls, spark: SparkSession, sf_dir: str) -> Data:
-        key = (spark.sparkContext.applicationId, sf_dir)
+        # Files that were written anew are another folder.
+        key = (spark.sparkContext.applicationId, sf_dir, *[written_at(spark, f"{sf_dir}/{t}.parquet") for t in ("lineitem", "orders", "part")])
         if cls._last is None or cls._last[0] != key:
+            if cls._last is not None and cls._last[0][0] == key[0]:
+                cls._last[1].release()
             cls._last = (key, super().__new__(cls))
         return cls._last[1]
 
@@ -54,10 +57,17 @@ class Data:
     @property
     def splits(self) -> DataFrame:
         if self._splits is None:
-            kept = self.ratings.cache()
-            self._splits = sp.build_splits(kept).cache()
+            self._kept = self.ratings.cache()
+            self._splits = sp.build_splits(self._kept).cache()
         return self._splits
 
+    def release(self) -> None:
+        """Let go of what is kept; it is worked out again if it is asked for."""
+        if self._splits is not None:
+            self._splits.unpersist()
+            self._kept.unpersist()
+            self._splits = None
+
     def train(self, name: str = "train") -> DataFrame:
         return sp.training_set(self.splits, name)
 
