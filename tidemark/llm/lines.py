@@ -12,12 +12,14 @@ With whole runs, a window is no fixed number of lines: from each line on, and up
 the shortest run with `min_lines` lines and `min_words` words. A longer run that occurs twice is
 the union of such windows (of a line inside, the words after it are too few only if the window up to
 the run's end holds it), so whole maximal runs go, short lines within them included.
+
+Texts are read once to be cut into lines, of which a digest and a count of words go on, and once
+more, with the numbers of their lines that go, to be rewritten: no other step sees a text.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,117 +29,145 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import discard, files_for, free_name, materialize, small_batches
+from .textscan import sliding
 
 MIN_LINES = 2
 #: Windows (or with whole runs, runs) with fewer words than this are too common to tell copies from chance.
 MIN_WORDS = 10
 
-_ENDS = " \t\n\x0b\f\r"
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-
-
-def _digest(s: str, size: int) -> bytes:
-    return hashlib.blake2b(s.encode(), digest_size=size).digest()
+_DIGEST = 16
 
 
 class Lines:
-    """The windows of one text: places (numbers of lines), fingerprints and content digests."""
-
-    def __init__(self, text: str | None, min_lines: int, min_words: int, runs: bool = False) -> None:
-        self.lines = (text or "").split("\n")
-        stripped = [(i, s) for i, x in enumerate(self.lines) if (s := x.strip(_ENDS))]
-        self.at = [i for i, _ in stripped]
-        self.texts = [s for _, s in stripped]
-        self.words = [len(_WORD.findall(s)) for s in self.texts]
-        hashes = [int.from_bytes(_digest(s, 8), "little", signed=True) for s in self.texts]
+    """The windows of one text, by the digests and the numbers of words of its lines with a word: ends
+    (first line, line after the last), fingerprints, places in the order of the ends, contents."""
+
+    def __init__(self, digests: bytes, words: np.ndarray, min_lines: int, min_words: int, runs: bool = False) -> None:
+        self.digests = digests
+        hashes = np.frombuffer(digests, "<i8")[::2]
+        total = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
         if runs:
-            self.windows = self._shortest(min_lines, min_words)
+            self.first, self.end = self._shortest(total, min_lines, min_words)
+            self.marks = np.array([hashes[x:y].min() for x, y in zip(self.first.tolist(), self.end.tolist(), strict=True)], np.int64)
         else:
-            self.windows = [(i, i + min_lines) for i in range(len(self.texts) - min_lines + 1) if sum(self.words[i : i + min_lines]) >= min_words]
-        self.marks = [min(hashes[a:b]) for a, b in self.windows]
+            first = np.arange(max(0, len(words) - min_lines + 1))
+            self.first = first[total[first + min_lines] - total[first] >= min_words]
+            self.end = self.first + min_lines
+            self.marks = sliding(np.minimum, hashes, min_lines)[self.first]
         # Every line has a word, so no window has more lines than this.
-        self.span = max(min_lines, min_words) + 1
-
-    def _shortest(self, min_lines: int, min_words: int) -> list[tuple[int, int]]:
-        """The shortest windows from each line on and up to each line, in order."""
-        found, n = set(), len(self.words)
-        total = end = 0
-        for a in range(n):
-            while end < n and (total < min_words or end - a < min_lines):
-                total += self.words[end]
-                end += 1
-            if total >= min_words and end - a >= min_lines:
-                found.add((a, end))
-            total -= self.words[a]
-        total, start = 0, n
-        for b in range(n, 0, -1):
-            while start > 0 and (total < min_words or b - start < min_lines):
-                start -= 1
-                total += self.words[start]
-            if total >= min_words and b - start >= min_lines:
-                found.add((start, b))
-            total -= self.words[b - 1]
-        return sorted(found)
-
-    def place(self, a: int, b: int) -> int:
-        """In the order of (a, b)."""
-        return a * self.span + b - a
-
-    def content(self, a: int, b: int) -> bytes:
-        return _digest("\n".join(self.texts[a:b]), 16)
-
-
-def _marks(min_lines: int, min_words: int, runs: bool):
-    """(mark, doc_id, n): the fingerprints of each document and how many windows have them."""
+        self.places = self.first * (max(min_lines, min_words) + 1) + self.end - self.first
+
+    @staticmethod
+    def _shortest(total: np.ndarray, min_lines: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+        """The shortest windows from each line on and up to each line, in order, without repeats."""
+        n = len(total) - 1
+        at = np.arange(n)
+        end = np.maximum(np.searchsorted(total, total[:-1] + min_words), at + min_lines)
+        start = np.minimum(np.searchsorted(total, total[1:] - min_words, "right") - 1, at + 1 - min_lines)
+        ends = np.stack([np.concatenate([at[end <= n], start[start >= 0]]), np.concatenate([end[end <= n], at[start >= 0] + 1])], axis=1)
+        ends = np.unique(ends, axis=0)
+        return ends[:, 0], ends[:, 1]
+
+    def content(self, window: int) -> bytes:
+        a, b = _DIGEST * int(self.first[window]), _DIGEST * int(self.end[window])
+        return hashlib.blake2b(self.digests[a:b], digest_size=16).digest()
+
+
+_LINES = "doc_id long, version string, at binary, words binary, digests binary"
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each text: the numbers of its lines with a word, their words, and their digests."""
+    for batch in batches:
+        out: list[list] = [[], [], [], [], []]
+        for doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
+            data = data.as_py() or b""
+            # Without an argument, bytes are stripped and split at ASCII white space.
+            own = [(i, s) for i, x in enumerate(data.split(b"\n")) if (s := x.strip())]
+            if not own:
+                continue
+            row = doc_id, hashlib.md5(data).hexdigest(), np.array([i for i, _ in own], "<i4").tobytes(), np.array([len(s.split()) for _, s in own], "<i4").tobytes(), b"".join([hashlib.blake2b(s, digest_size=_DIGEST).digest() for _, s in own])
+            for column, value in zip(out, row, strict=True):
+                column.append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["doc_id", "version", "at", "words", "digests"])
+
+
+def _of(words: bytes, digests: bytes, rule: tuple) -> Lines:
+    return Lines(digests, np.frombuffer(words, "<i4"), *rule)
+
+
+def _marks(rule: tuple):
+    """doc_id, words, digests -> (mark, doc_id, n): the fingerprints of each document and how many windows have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks, docs, counts = [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                values, n = np.unique(np.array(Lines(text.as_py(), min_lines, min_words, runs).marks, np.int64), return_counts=True)
-                marks += values.tolist()
-                counts += n.tolist()
-                docs += [doc_id] * len(n)
-            yield pa.RecordBatch.from_arrays([pa.array(marks, pa.int64()), pa.array(docs, pa.int64()), pa.array(counts, pa.int64())], names=["mark", "doc_id", "n"])
+            marks, docs, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for doc_id, words, digests in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                values, n = np.unique(_of(words, digests, rule).marks, return_counts=True)
+                marks.append(values)
+                counts.append(n)
+                docs.append(np.full(len(n), doc_id))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (marks, docs, counts)], names=["mark", "doc_id", "n"])
 
     return run
 
 
-def _windows(min_lines: int, min_words: int, runs: bool):
+def _windows(rule: tuple):
+    """doc_id, words, digests, marks -> (window, doc_id, place) of the windows with a recurring fingerprint."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, docs, places = [], [], []
-            for doc_id, text, marks in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                own, recurring = Lines(text.as_py(), min_lines, min_words, runs), set(marks)
-                for (a, b), mark in zip(own.windows, own.marks, strict=True):
-                    if mark in recurring:
-                        keys.append(own.content(a, b))
-                        docs.append(doc_id)
-                        places.append(own.place(a, b))
+            for doc_id, words, digests, marks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = _of(words, digests, rule)
+                at = np.flatnonzero(np.isin(own.marks, marks)).tolist()
+                keys += [own.content(i) for i in at]
+                docs += [doc_id] * len(at)
+                places += own.places[at].tolist()
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(docs, pa.int64()), pa.array(places, pa.int64())], names=["window", "doc_id", "place"])
 
     return run
 
 
-def _delete(min_lines: int, min_words: int, runs: bool, text_at: int):
-    """Rows whose last two columns are marks and firsts, with their text rewritten, and n_lines and
-    n_removed (lines with a word) in their place."""
+def _gone(rule: tuple):
+    """doc_id, version, at, words, digests, marks, firsts -> (doc_id, version, gone): the numbers of the
+    lines that go, of texts that lose any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc_id, version, at, words, digests, marks, firsts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = _of(words, digests, rule)
+                late = np.isin(own.marks, marks) & ~np.isin(own.places, firsts or [])
+                edges = np.zeros(len(words) // 4 + 1, np.int64)
+                np.add.at(edges, own.first[late], 1)
+                np.add.at(edges, own.end[late], -1)
+                lost = np.frombuffer(at, "<i4")[np.cumsum(edges)[:-1] > 0]
+                if len(lost):
+                    out.append((doc_id, version, lost.tobytes()))
+            ids, versions, lines = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(versions, pa.string()), pa.array(lines, pa.binary())], names=["doc_id", "version", "gone"])
+
+    return run
+
+
+def _delete(text_at: int):
+    """Rows whose last column is gone (null if nothing is), with their text rewritten, and n_lines and
+    n_removed (lines with a word) in its place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = batch.columns
             texts, totals, removed = [], [], []
-            for text, marks, firsts in zip(columns[text_at], columns[-2].to_pylist(), columns[-1].to_pylist(), strict=True):
-                own = Lines(text.as_py(), min_lines, min_words, runs)
-                recurring, kept, gone = set(marks or ()), set(firsts or ()), set()
-                for (a, b), mark in zip(own.windows, own.marks, strict=True):
-                    if mark in recurring and own.place(a, b) not in kept:
-                        gone.update(own.at[a:b])
-                totals.append(len(own.at))
-                removed.append(len(gone))
-                texts.append(text.as_py() if not gone else "\n".join([x for i, x in enumerate(own.lines) if i not in gone]))
-            columns[text_at], columns[-2], columns[-1] = pa.array(texts, pa.string()), pa.array(totals, pa.int64()), pa.array(removed, pa.int64())
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+            for data, gone in zip(columns[text_at].cast(pa.binary()), columns[-1], strict=True):
+                data, gone = data.as_py(), gone.as_py()
+                lines = (data or b"").split(b"\n")
+                totals.append(sum(1 for x in lines if x.strip()))
+                lost = set(np.frombuffer(gone, "<i4").tolist()) if gone else ()
+                removed.append(len(lost))
+                texts.append(b"\n".join([x for i, x in enumerate(lines) if i not in lost]) if lost else data)
+            columns[text_at] = pa.array(texts, pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([*columns[:-1], pa.array(totals, pa.int64()), pa.array(removed, pa.int64())], names=[*batch.schema.names[:-1], "__n_lines", "__n_removed"])
 
     return run
 
@@ -163,18 +193,28 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MI
     small_batches(docs.sparkSession, 500)
     docs = docs.drop("__n_lines", "__n_removed")
     files = files_for(docs.sparkSession, 10 * docs.count())
+    rule = (min_lines, min_words, runs)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    marks = materialize(texts.mapInArrow(_marks(min_lines, min_words, runs), "mark long, doc_id long, n long"), "line-marks", passes=2)
+    lines = materialize(texts.mapInArrow(_cut, _LINES), "lines")
+    marks = materialize(lines.select("doc_id", "words", "digests").mapInArrow(_marks(rule), "mark long, doc_id long, n long"), "line-marks")
     recurring = materialize(marks.groupBy("mark").agg(F.sum("n").alias("n")).where("n > 1").select("mark"), "recurring", files)
-    own = materialize(marks.select("mark", "doc_id").join(recurring, "mark").groupBy("doc_id").agg(F.collect_set("mark").alias("marks")), "own-marks", files, 2)
-    windows = texts.join(own, "doc_id").select("doc_id", "text", "marks").mapInArrow(_windows(min_lines, min_words, runs), "window binary, doc_id long, place long")
+    own = marks.select("mark", "doc_id").join(recurring, "mark").groupBy("doc_id").agg(F.collect_set("mark").alias("marks"))
+    own = materialize(lines.join(own, "doc_id"), "marked-lines", passes=2)
+    discard(lines, marks, recurring)
+    windows = own.select("doc_id", "words", "digests", "marks").mapInArrow(_windows(rule), "window binary, doc_id long, place long")
     firsts = windows.groupBy("window").agg(F.min(F.struct("doc_id", "place")).alias("at"))
     firsts = materialize(firsts.groupBy("at.doc_id").agg(F.collect_list("at.place").alias("firsts")), "firsts", files, 2)
-    discard(marks, recurring)
-    of_id, of_marks, of_firsts = (free_name(docs, n) for n in ("__id", "__marks", "__firsts"))
-    notes = own.join(firsts, "doc_id", "left").select(F.col("doc_id").alias(of_id), F.col("marks").alias(of_marks), F.col("firsts").alias(of_firsts))
-    out = docs.join(notes, docs["doc_id"].cast("long") == notes[of_id], "left").drop(of_id)
+    late = own.join(firsts, "doc_id", "left").select("doc_id", "version", "at", "words", "digests", "marks", "firsts")
+    gone = late.mapInArrow(_gone(rule), "doc_id long, version string, gone binary").dropDuplicates(["doc_id", "version"])
+    gone = materialize(gone, "gone", files, 2)
+    discard(own, firsts)
+    of_id, of_version, of_gone = (free_name(docs, n) for n in ("__id", "__version", "__gone"))
+    notes = gone.select(F.col("doc_id").alias(of_id), F.col("version").alias(of_version), F.col("gone").alias(of_gone))
+    same = (docs["doc_id"].cast("long") == notes[of_id]) & (F.md5(docs["text"]) == notes[of_version])
+    # Always by shuffle: a broadcast that only small tables get would make the cost of large ones a surprise.
+    out = docs.join(notes.hint("merge"), same, "left").drop(of_id, of_version)
     # Plain names on the way through Python, whatever the columns are called.
-    plain = [f"c{i}" for i in range(len(out.columns))]
-    schema = T.StructType([T.StructField(n, f.dataType) for n, f in zip(plain, [*docs.schema.fields, *[T.StructField("", T.LongType())] * 2], strict=True)])
-    return out.toDF(*plain).mapInArrow(_delete(min_lines, min_words, runs, docs.columns.index("text")), schema).toDF(*docs.columns, "__n_lines", "__n_removed")
+    plain = [f"c{i}" for i in range(len(docs.columns))]
+    kinds = [f.dataType for f in docs.schema.fields]
+    schema = T.StructType([T.StructField(n, k) for n, k in [*zip(plain, kinds, strict=True), ("__n_lines", T.LongType()), ("__n_removed", T.LongType())]])
+    return out.toDF(*plain, "gone").mapInArrow(_delete(docs.columns.index("text")), schema).toDF(*docs.columns, "__n_lines", "__n_removed")
