@@ -77,18 +77,18 @@ def negatives(data: EvalData, n: int = NEGATIVES, seed: int = NEGATIVE_SEED) ->
     pool = written(numbered(data.train_items), "pool")
     size = pool.count()
     prime = prime_from(size)
-    rated = data.ever_rated.groupBy("user_id").agg(F.count("*").alias("rated"))
-    steps = F.least(F.lit(prime), F.lit(n + prime - size) + F.col("rated"))
-    users = data.population.join(rated, "user_id").select("user_id", steps.cast("bigint").alias("steps"), F.pmod(key_hash(seed, "user_id", F.lit("a")), F.lit(prime)).alias("a"), (F.lit(1) + F.pmod(key_hash(seed, "user_id", F.lit("b")), F.lit(max(1, prime - 1)))).alias("b"))
-    walk = users.select("user_id", "a", "b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("steps") - 1)).alias("j"))
-    walk = walk.select("user_id", "j", F.pmod(F.col("a") + F.col("b") * F.col("j"), F.lit(prime)).alias("place"))
-    drawn = walk.join(pool, "place").join(data.ever_rated, ["user_id", "item_id"], "left_anti")
-    drawn = first_per_group(drawn, ["user_id"], [F.col("j")], n)
-    # Counted on the partitioning that is there; a user with too few fails the job, one with none too.
-    drawn = drawn.select("user_id", "item_id", F.count("*").over(Window.partitionBy("user_id")).alias("got"))
-    out = data.population.join(drawn, "user_id", "left")
-    enough = F.coalesce("got", F.lit(0)) == n
-    return out.select("user_id", F.when(enough, F.col("item_id")).otherwise(F.raise_error(F.lit(f"some user has fewer than {n} items left to draw")).cast("bigint")).alias("item_id"))
+    # A user's walk, and the places that it must not take, are two arrays of one row: no row of a
+    # step is made or shuffled.
+    rated = data.ever_rated.join(pool, "item_id", "left").groupBy("user_id").agg(F.count("*").alias("rated"), F.collect_set("place").alias("gone"))
+    steps = F.least(F.lit(prime), F.lit(n + prime - size) + F.coalesce("rated", F.lit(0))).cast("bigint")
+    a, b = F.pmod(key_hash(seed, "user_id", F.lit("a")), F.lit(prime)), F.lit(1) + F.pmod(key_hash(seed, "user_id", F.lit("b")), F.lit(max(1, prime - 1)))
+    none = F.array().cast("array<bigint>")
+    users = data.population.join(rated, "user_id", "left").select("user_id", F.coalesce("gone", none).alias("gone"), steps.alias("steps"), a.alias("a"), b.alias("b"))
+    walk = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("steps") - 1), lambda j: F.pmod(F.col("a") + F.col("b") * j, F.lit(prime)).cast("bigint"))
+    users = users.select("user_id", F.slice(F.filter(F.array_except(walk, F.col("gone")), lambda p: p < size), 1, n).alias("places"))
+    short = F.raise_error(F.lit(f"some user has fewer than {n} items left to draw")).cast("array<bigint>")
+    drawn = users.select("user_id", F.explode(F.when(F.size("places") == n, F.col("places")).otherwise(short)).alias("place"))
+    return drawn.join(pool, "place").select("user_id", "item_id")
 
 
 def check_scores(scores: DataFrame) -> DataFrame:
