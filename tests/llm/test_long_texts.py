@@ -77,3 +77,23 @@ def test_ranges_of_offsets_are_in_the_nodes(spark):
         return [r.hash for r in nodes(rows, 1).collect()]
 
     assert root((1, 5), (2, 7)) == root((1, 5), (2, 7)) != root((1, 7), (2, 5))
+
+
+@pytest.mark.parametrize("piece", [1, 3, 1 << 13])
+def test_pieces_make_the_text(monkeypatch, piece):
+    monkeypatch.setattr(textscan, "PIECE", piece)
+    w = Column.of(pa.array(["a bc", "", " d  é f g ", None])).words(0, 4)
+    assert b"".join(w.pieces(np.arange(2, 6))) == w.text(2, 6) == "d é f g".encode() and list(w.pieces(np.arange(0))) == []
+    assert b"".join(w.pieces(np.array([0, 3, 5]))) == "a é g".encode()
+
+
+def test_one_long_row_has_the_shingles_it_has_among_others():
+    from tidemark.llm.neardup import shingle_sets
+
+    text = " ".join(f"w{i % 700}" for i in range(3000))
+    row, alone = shingle_sets(Column.of(pa.array([text])).words(0, 1))
+    rows, both = shingle_sets(Column.of(pa.array(["x y", text])).words(0, 2))
+    assert (alone == both[rows == 1]).all() and (row == 0).all() and len(alone) == 700
+    for few in ("", "one two"):
+        r, s = shingle_sets(Column.of(pa.array([few])).words(0, 1))
+        assert len(r) == len(s) == min(1, len(few))

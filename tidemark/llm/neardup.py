@@ -53,6 +53,9 @@ def shingle_sets(words: Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray
     """(row, shingle) of all rows' sets of k-word shingles, sorted and distinct; the whole
     sequence is the one shingle of a row with fewer words."""
     hashes = words.hashes()
+    if len(words.first) == 2 and len(hashes) >= k:  # one long row
+        shingle = np.unique(grams(hashes, k))
+        return np.zeros(len(shingle), np.int64), shingle
     starts = inside_rows(words, k)
     rows = [np.searchsorted(words.first, starts, "right") - 1]
     found = [grams(hashes, k)[starts]]
@@ -122,7 +125,13 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _digests(words: Words) -> list[bytes | None]:
     """Of each row's word sequence; None without words."""
-    return [hashlib.sha256(words.text(x, y)).digest() if y > x else None for x, y in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)]
+    out: list[bytes | None] = []
+    for x, y in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
+        digest = hashlib.sha256()
+        for piece in words.pieces(np.arange(x, y)):
+            digest.update(piece)
+        out.append(digest.digest() if y > x else None)
+    return out
 
 
 _SETS = "doc_id long, digest binary, shingles binary"

@@ -213,12 +213,15 @@ def _remove(window: int, gram: int, with_text: bool):
                     np.add.at(edges, gone - lo, 1)
                     np.add.at(edges, gone - lo + window, -1)
                     keep = np.flatnonzero(np.cumsum(edges)[:-1] == 0) + lo
-                    data = words.data
-                    text = b" ".join([data[s:e].tobytes() for s, e in zip(words.start[keep].tolist(), words.end[keep].tolist(), strict=True)])
+                    digest, parts = hashlib.sha256(), []
+                    for piece in words.pieces(keep):
+                        digest.update(piece)
+                        if with_text:
+                            parts.append(piece)
                     counts.append(hi - lo)
                     removed.append(hi - lo - len(keep))
-                    digests.append(hashlib.sha256(text).hexdigest())
-                    texts.append(text if with_text else None)
+                    digests.append(digest.hexdigest())
+                    texts.append(b"".join(parts) if with_text else None)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.binary()).cast(pa.string())], schema=schema)
 
     return run

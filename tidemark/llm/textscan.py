@@ -19,7 +19,9 @@ U = np.uint64
 _BASE, _INVERSE = U(0x9E3779B97F4A7C15), U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _GRAM = U(0xD6E8FEB86659FD93)
 #: Bytes whose words are hashed at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
+#: Words that are joined at once.
+PIECE = 1 << 13
 
 #: Word definitions: which bytes separate words.
 WHITE = np.zeros(256, bool)
@@ -88,6 +90,13 @@ class Words:
             a = b
         return out
 
+    def pieces(self, at: np.ndarray) -> Iterator[bytes]:
+        """What the words of those numbers make when they are joined by one space, piece by piece."""
+        for a in range(0, len(at), PIECE):
+            part, data = at[a : a + PIECE], self.data
+            words = [data[s:e].tobytes() for s, e in zip(self.start[part].tolist(), self.end[part].tolist(), strict=True)]
+            yield b" ".join(words if a == 0 else [b"", *words])
+
     def text(self, a: int, b: int) -> bytes:
         """Words a to b (exclusive), joined by one space."""
         data = self.data
@@ -154,6 +163,8 @@ def inside_rows(words: Words, k: int) -> np.ndarray:
     n = len(words.start) - k + 1
     if n <= 0:
         return np.zeros(0, np.int64)
+    if len(words.first) == 2:  # one long row
+        return np.arange(n)
     last = np.repeat(words.first[1:], words.counts)
     return np.flatnonzero(np.arange(n) + k <= last[:n])
 
