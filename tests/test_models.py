@@ -145,3 +145,14 @@ def test_als_lists_do_not_depend_on_other_users(train):
     for user in (1, 7):
         assert rows(users.where(F.col("user_id") == user)) == {r for r in every if r[0] == user}
     assert mo.als_top_k(model, users.limit(0), seen, 5).count() == 0
+
+
+@pytest.mark.parametrize("asked", [1, 40])
+def test_pair_scores_of_more_items_than_one_matrix_takes(spark, train, monkeypatch, asked):
+    liked = mo.likes(train)
+    weights = mo.knn_similarity(mo.item_gram(liked, 1), 3, 0.0).cache()
+    pairs = train.select("user_id").distinct().join(spark.range(1, asked + 1).withColumnRenamed("id", "item_id"))
+    want = {(r.user_id, r.item_id): r.score for r in mo.ease_pair_scores(liked, weights, pairs).collect()}
+    monkeypatch.setattr(mo, "MAX_DENSE", 3)
+    got = {(r.user_id, r.item_id): r.score for r in mo.ease_pair_scores(liked, weights, pairs).collect()}
+    assert got.keys() == want.keys() and want and all(abs(got[p] - want[p]) < 1e-9 for p in want)
