@@ -234,6 +234,28 @@ def test_requests_read_one_bucket_once(spark, tmp_path):
     assert again.recommend(1, 6)["items"] == [mo.popular_list(scores, 1).first().item_id] and again.health()["about"] == {"n": 2}
 
 
+def test_what_is_kept_is_bounded_by_its_size(spark, tmp_path, monkeypatch):
+    from tidemark.plans import serving
+
+    train = spark.createDataFrame(fixtures.log(), fixtures.COLUMNS)
+    items = spark.createDataFrame(fixtures.items(), "item_id long, title string, genres string")
+    scores = mo.popularity(mo.likes(train), items)
+    seen = train.select("user_id", "item_id").distinct()
+    monkeypatch.setattr(serving, "ROWS_A_BUCKET", 20)
+    monkeypatch.setattr(serving, "KEPT_NUMBERS", 250)
+    folder = str(tmp_path / "bundle")
+    export_bundle(folder, {"profiles": profiles(train), "popular": mo.popular_list(scores, 100), "seen": seen}, {"n": 1})
+    service = Recommender(spark, folder)
+    assert service._bundle()["tables"]["seen"]["buckets"] == 10 and service._bundle()["tables"]["profiles"]["buckets"] == 1
+    service.warm_up()
+    want = {(r.user_id, r["rank"]): r.item_id for r in recommend_all(seen.select("user_id").distinct(), train, scores, 6).collect()}
+    for user in range(1, 10):
+        assert service.recommend(user, 6)["items"] == [want[user, n] for n in range(1, 7)] and service.profile(user)["known"]
+        held = sum(len(x) if isinstance(x, list) else 1 for rows in service._kept.values() for own in rows.values() for r in own for x in r)
+        assert len(service._kept) == 1 or held <= 250
+    assert service.recommend(-1, 6)["strategy"] == "popular" and not service.profile(12345)["known"]
+
+
 def test_two_stages(spark):
     from tidemark.operators import evaluation as ev
     from tidemark.operators import ranking as rk

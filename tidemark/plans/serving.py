@@ -15,8 +15,8 @@ from ..operators.splits import positive
 from ..sources import get_json, put_json, remove, written_at
 
 MAX_K, MAX_PROFILE = 100, 50
-#: Users whose rows a request reads at once.
-USERS_A_BUCKET = 20_000
+#: Users, and rows but for one user's own, that a request reads at once; numbers that are kept on the driver.
+USERS_A_BUCKET, ROWS_A_BUCKET, KEPT_NUMBERS = 20_000, 100_000, 2_000_000
 
 
 def recommend_all(users: DataFrame, train: DataFrame, scores: DataFrame, k: int = K) -> DataFrame:
@@ -54,7 +54,8 @@ def export_bundle(folder: str, tables: dict[str, DataFrame], about: dict[str, ob
         told = {"columns": dict(df.dtypes)}
         if "user_id" in df.columns:
             own = spark.read.schema(df.schema).parquet(f"{path}.part")
-            buckets = max(1, -(-own.select("user_id").distinct().count() // users_a_bucket))
+            told_rows = own.agg(F.count_distinct("user_id").alias("users"), F.count("*").alias("rows")).first()
+            buckets = max(1, -(-told_rows["users"] // users_a_bucket), -(-told_rows["rows"] // ROWS_A_BUCKET))
             own = own.withColumn("__bucket", F.pmod("user_id", F.lit(buckets)))
             own.repartition(buckets, "__bucket").write.mode("overwrite").partitionBy("__bucket").parquet(path)
             remove(spark, f"{path}.part")
@@ -75,8 +76,8 @@ class OutOfRange(ValueError):
 class Recommender:
     """Requests against a bundle with the tables recommendations, profiles, popular and, where users
     may be known but not ranked, seen. A bucket of users is read by Spark once and then kept, the
-    last `keep` of them: a request for a kept bucket starts no job. A bundle that is written
-    anew is noticed by its manifest."""
+    last `keep` of them, and of those so many as hold KEPT_NUMBERS numbers, the last one always: a request
+    for a kept bucket starts no job. A bundle that is written anew is noticed by its manifest."""
 
     spark: SparkSession
     folder: str | None
@@ -84,6 +85,7 @@ class Recommender:
     _at: int | None = None
     _manifest: dict | None = None
     _kept: OrderedDict = field(default_factory=OrderedDict)
+    _sizes: dict = field(default_factory=dict)
 
     def _bundle(self) -> dict:
         at = written_at(self.spark, f"{self.folder}/manifest.json") if self.folder else None
@@ -92,18 +94,21 @@ class Recommender:
         if at != self._at:
             self._manifest, self._at = get_json(self.spark, f"{self.folder}/manifest.json"), at
             self._kept.clear()
+            self._sizes.clear()
         return self._manifest
 
     def _rows(self, name: str, bucket: int | None = None) -> dict[int | None, list]:
         """Rows by user of a bucket, or all rows of a small table under None."""
         if (name, bucket) not in self._kept:
-            df = self.spark.read.parquet(f"{self.folder}/{name}")
+            path = f"{self.folder}/{name}" + ("" if bucket is None else f"/__bucket={bucket}")
             found: dict[int | None, list] = {}
-            for r in (df if bucket is None else df.where(F.col("__bucket") == bucket)).collect():  # of a bounded number of users
+            # Of a bounded number of users; a bucket without any has no folder.
+            for r in [] if written_at(self.spark, path) is None else self.spark.read.parquet(path).toLocalIterator():
                 found.setdefault(None if bucket is None else r["user_id"], []).append(r)
             self._kept[name, bucket] = found
-            while len(self._kept) > self.keep:
-                self._kept.popitem(last=False)
+            self._sizes[name, bucket] = sum(len(x) if isinstance(x, list) else 1 for own in found.values() for r in own for x in r)
+            while len(self._kept) > self.keep or len(self._kept) > 1 and sum(self._sizes.values()) > KEPT_NUMBERS:
+                del self._sizes[self._kept.popitem(last=False)[0]]
         self._kept.move_to_end((name, bucket))
         return self._kept[name, bucket]
 
@@ -116,6 +121,9 @@ class Recommender:
         tables = self._bundle()["tables"]
         wanted = [("popular", None), *[(n, b) for n, t in sorted(tables.items()) for b in range(t.get("buckets", 0))]]
         for name, bucket in wanted[: self.keep]:
+            # What would push out what was just read isn't read.
+            if self._sizes and sum(self._sizes.values()) + max(self._sizes.values()) > KEPT_NUMBERS:
+                break
             self._rows(name, bucket)
         return len(self._kept)
 
