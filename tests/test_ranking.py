@@ -228,3 +228,31 @@ def test_trees_draw_their_features():
     drawn = [tuple(model._drawn(n)) for n in range(20)]
     assert all(len(d) == 8 and d[4:] == tuple(i + 5 for i in d[:4]) for d in drawn) and len(set(drawn)) > 1
     assert drawn == [tuple(model._drawn(n)) for n in range(20)] and LambdaMart(["a"], fraction=0.1)._drawn(0) == [0, 1]
+
+
+@pytest.mark.parametrize("dim,leaf", [(2, 7), (5, 16), (5, 1000)])
+def test_leaves_hold_the_best_of_all_items(monkeypatch, dim, leaf):
+    """What leaves find, with one block of items at a time, is what one matrix of users and items holds."""
+    from tidemark.plans import retriever as re
+
+    monkeypatch.setattr(re, "LEAF", leaf)
+    rng = np.random.default_rng(dim + leaf)
+    v = rng.normal(size=(300, dim))
+    v[::50] = 0
+    v[7:300:11] = v[7]  # ties, which go by item
+    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    u = rng.normal(size=(40, dim))
+    u[3] = 0
+    u[4] = v[7]
+    u /= np.maximum(np.linalg.norm(u, axis=1, keepdims=True), 1e-12)
+    ids = np.arange(300) * 3
+    hide = [rng.choice(300, n, replace=False) for n in [0, 295, 300, *rng.integers(0, 40, 37)]]
+    leaves = re.Leaves.of(v)
+    got = leaves.best(u, v[leaves.order], ids[leaves.order], [leaves.place[h] for h in hide], 6)
+    for r in range(40):
+        s = u[r] @ v.T
+        s[hide[r]] = -np.inf
+        want = sorted((i for i in range(300) if s[i] > -np.inf), key=lambda i: (-round(s[i], 12), ids[i]))[:6]
+        own = got[0] == r
+        assert got[3][own].tolist() == list(range(1, len(want) + 1)) and np.allclose(got[2][own], s[want], atol=1e-12)
+        assert len(set(got[1][own])) == len(want) and np.allclose(s[got[1][own] // 3], s[want], atol=1e-12)
