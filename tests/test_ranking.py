@@ -256,3 +256,26 @@ def test_leaves_hold_the_best_of_all_items(monkeypatch, dim, leaf):
         own = got[0] == r
         assert got[3][own].tolist() == list(range(1, len(want) + 1)) and np.allclose(got[2][own], s[want], atol=1e-12)
         assert len(set(got[1][own])) == len(want) and np.allclose(s[got[1][own] // 3], s[want], atol=1e-12)
+
+
+def test_steps_in_place_and_one_draw(spark, context, monkeypatch):
+    """Adam in place and summed rows are what they were by formula; the shares of one draw are counted once."""
+    from tidemark.plans import retriever as re
+
+    rng = np.random.default_rng(3)
+    w, m, v = (rng.normal(size=(9, 4)) ** 2 for _ in range(3))
+    g = rng.normal(size=(9, 4))
+    m1, v1 = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+    want = w - 0.01 * (m1 / (1 - 0.9**5)) / (np.sqrt(v1 / (1 - 0.999**5)) + 1e-8)
+    re.adam(w, g.copy(), m, v, 0.01, 5)
+    assert np.allclose(w, want) and np.allclose(m, m1) and np.allclose(v, v1)
+    at, rows = rng.integers(0, 9, 50), rng.normal(size=(50, 4))
+    a, b = np.zeros((9, 4)), np.zeros((9, 4))
+    np.add.at(a, at, rows)
+    re.add_rows(b, at, rows)
+    assert np.allclose(a, b)
+    pairs = sq.training_pairs(sq.sequences(context.train), 3).cache()
+    asked = []
+    monkeypatch.setattr(TwoTower, "log_q", lambda self, d, own=TwoTower.log_q: asked.append(1) or own(self, d))
+    TwoTower(dim=4, hidden=3, epochs=3, batch=8, history=3).fit(pairs, seed=1)
+    assert len(asked) == 1
