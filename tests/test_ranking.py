@@ -279,3 +279,20 @@ def test_steps_in_place_and_one_draw(spark, context, monkeypatch):
     monkeypatch.setattr(TwoTower, "log_q", lambda self, d, own=TwoTower.log_q: asked.append(1) or own(self, d))
     TwoTower(dim=4, hidden=3, epochs=3, batch=8, history=3).fit(pairs, seed=1)
     assert len(asked) == 1
+
+
+def test_sparse_steps_equal_dense_ones():
+    """A gradient of some rows is never made whole, and leaves the same weights and moments, those at rest included."""
+    from tidemark.plans import retriever as re
+
+    rng = np.random.default_rng(4)
+    n = 2 * re.CHUNK + 7
+    one = [rng.normal(size=(n, 3)), np.zeros((n, 3)), np.zeros((n, 3))]
+    two = [x.copy() for x in one]
+    for step in (1, 2, 3):
+        places, rows = re.summed(rng.integers(0, n, 50), rng.normal(size=(50, 3)))
+        g = np.zeros((n, 3))
+        g[places] = rows
+        re.adam(one[0], g, one[1], one[2], 0.01, step)
+        re.adam_rows(two[0], places, rows, two[1], two[2], 0.01, step)
+    assert all((a == b).all() for a, b in zip(one, two, strict=True))
